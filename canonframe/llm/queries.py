@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from canonframe.llm import mpeg_audio, packing, sharding
+from canonframe.llm import mpeg_audio, packing, quality, sharding, toxicity
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_sharding": sharding.op3_sharding,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_media": mpeg_audio.op5_media,
     "op7_packing": packing.op7_packing,
 }
