@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canonframe.llm import mpeg_audio, packing, quality, sharding, toxicity
+from canonframe.llm import decontamination, mpeg_audio, packing, pii, quality, sharding, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -10,6 +10,10 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_media": mpeg_audio.op5_media,
     "op7_packing": packing.op7_packing,
+    "op9_pii": pii.op9_pii,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_decontamination": decontamination.ORACLE_SQL,
+}
