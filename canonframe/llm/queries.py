@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from canonframe.llm import decontamination, mpeg_audio, packing, pii, quality, sharding, toxicity
+from canonframe.llm import decontamination, jaccard_join, mpeg_audio, packing, pii, quality, sharding, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_sharding": sharding.op3_sharding,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_media": mpeg_audio.op5_media,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_packing": packing.op7_packing,
     "op9_pii": pii.op9_pii,
     "op10_decontamination": decontamination.op10_decontamination,
