@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canonframe.llm import decontamination, jaccard_join, mpeg_audio, packing, pii, quality, sharding, toxicity
+from canonframe.llm import decontamination, jaccard_join, mpeg_audio, packing, pii, quality, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_media": mpeg_audio.op5_media,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_packing": packing.op7_packing,
+    "op8_suffix_dedup": substring_dedup.op8_suffix_dedup,
     "op9_pii": pii.op9_pii,
     "op10_decontamination": decontamination.op10_decontamination,
 }
