@@ -45,3 +45,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the session's shared folder (see cut()) and read again."""
+    import uuid
+
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="canonframe-stages-")
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

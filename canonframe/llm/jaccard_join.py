@@ -353,7 +353,7 @@ def S_rank(c):
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """key (row_key), doc_id, n_shingles, component_id for each row of docs.
+    """key (row_key), doc_id, n_shingles, component_id, stays (whether it stands for its component) for each row of docs.
 
     A document without words (null, empty or white text) has no set and links with nothing. Rows with equal sets are in
     one component; a null doc_id takes the least other doc_id of its component, null if there is none. Ties do not
@@ -363,9 +363,21 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = profile.where("kind = 0").select("key", "doc_id", F.col("n").cast("long").alias("n_shingles"), "fp")
     comps = components(links(docs, profile))
     full = rows.where("n_shingles > 0").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp"))
-    least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least, "comp").select("key", "doc_id", "n_shingles", "component_id")
-    return out.unionByName(rows.where("n_shingles = 0").select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    least = full.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    out = full.join(least, "comp").select("key", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("key") == F.col("least.key")).alias("stays"))
+    return out.unionByName(rows.where("n_shingles = 0").select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs' rows, with all columns, that stand for their component: those of least doc_id (null last; then by a hash of
+    the row). Documents without words all stay; of equal rows of a document that stands for others one stays."""
+    rows = cut(classes(docs).where("stays").groupBy("key").agg(F.count("*").alias("n"), F.max("n_shingles").alias("k")))
+    kept = docs.withColumn("__cf_key", row_key()).join(rows.select(F.col("key").alias("__cf_key")), "__cf_key", "left_semi")
+    twice = rows.where("n > 1 and k > 0").select(F.col("key").alias("__cf_key"))
+    if not twice.isEmpty():
+        again = kept.join(twice, "__cf_key", "left_semi").dropDuplicates(["__cf_key"])
+        kept = kept.join(twice, "__cf_key", "left_anti").unionByName(again)
+    return kept.drop("__cf_key")
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

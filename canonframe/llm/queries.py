@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from canonframe.llm import decontamination, jaccard_join, mpeg_audio, packing, pii, quality, sharding, substring_dedup, toxicity
+from canonframe.llm import decontamination, jaccard_join, line_dedup, mpeg_audio, packing, pii, quality, sharding, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality": quality.op2_quality,
     "op3_sharding": sharding.op3_sharding,
     "op4_toxicity": toxicity.op4_toxicity,

@@ -212,6 +212,18 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     return shaped.mapInArrow(run, schema)
 
 
+def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, that score below the threshold."""
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        auto, w = model.automaton(), np.array(model.curve)
+        f = np.array([features(fold(t), auto) for t in texts.to_pylist()]).reshape(-1, 3)
+        return pa.array(1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30))), pa.float64())
+
+    return docs.where(scored(body("text")) < threshold)
+
+
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
