@@ -21,8 +21,8 @@ from canonframe.llm.common import body, cut, table
 
 MAX_LEN = 2048
 END_ID = 1
-#: Entries of a worker's word cache; it is emptied when full, which costs time but changes nothing.
-CACHE_WORDS = 200_000
+#: Entries of each of the two generations of a worker's word cache; it changes speed alone.
+CACHE_WORDS = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -33,27 +33,49 @@ def tokenizer_path() -> str:
 
 
 class _Words(dict):
-    """Token ids, as little-endian bytes, of a run of bytes without ASCII white space.
+    """Token ids, as little-endian bytes, of a run of bytes without ASCII white space and capital letters.
 
-    The tokenizer drops white space and no rule of it reaches across, so a text's ids are those of its runs in turn.
+    The tokenizer lower-cases, drops white space, and no rule of it reaches across white space or from a letter to a
+    following point or comma, so a text's ids are those of such runs in turn. When the cache is full it becomes the old
+    generation; words found there come back into the new one.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tok.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        out = np.asarray(ids, dtype="<u4").tobytes()
+        out = self.old.get(word)
+        if out is None:
+            text = word.decode("utf-8")
+            if text[-1] in ".," and len(text) > 1 and text[-2].lower().isalpha():
+                out = self[word[:-1]] + self[word[-1:]]
+            else:
+                out = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = out
         return out
 
 
+_caches: dict[str, _Words] = {}
+
+
+def words_of(path: str) -> _Words:
+    """This worker's cache for a tokenizer file; it outlives a task."""
+    if path not in _caches:
+        _caches.clear()
+        _caches[path] = _Words(path)
+    return _caches[path]
+
+
 def token_bytes(text: bytes, words: _Words) -> bytes:
+    if b"<|" not in text:  # special tokens count only as they are written
+        text = text.lower()
     return b"".join([words[w] for w in text.split()])
 
 
@@ -67,7 +89,7 @@ def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches):
-        words = _Words(path)
+        words = words_of(path)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
