@@ -1 +1 @@
-
+"""Set operators over documents."""
