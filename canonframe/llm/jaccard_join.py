@@ -156,7 +156,7 @@ def _pairs_of_part(raw: list[bytes], part: int):
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(rows["token"])) + 1, [len(rows)]])
     size = np.repeat(np.diff(cuts), np.diff(cuts))
     rows, size = rows[size > 1], size[size > 1]
-    found = []
+    found, shared = [], []
     short = rows[size <= SHORT_LIST]
     for s in range(1, SHORT_LIST):
         i = np.flatnonzero(short["token"][s:] == short["token"][:-s]) if len(short) > s else []
@@ -165,6 +165,7 @@ def _pairs_of_part(raw: list[bytes], part: int):
         x, y = short[i], short[i + s]
         ok = possible(x["n"].astype(np.int64), x["at"], y["n"].astype(np.int64), y["at"])
         found.append((x[ok], y[ok]))
+        shared.append(np.ones(int(ok.sum()), np.int64))
     long_ = rows[size > SHORT_LIST]
     if len(long_):
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(long_["token"])) + 1, [len(long_)]])
@@ -175,24 +176,26 @@ def _pairs_of_part(raw: list[bytes], part: int):
             x, y = long_[lead], long_
             ok = (x["fp"] != y["fp"]) & possible(x["n"].astype(np.int64), x["at"], y["n"].astype(np.int64), y["at"])
             found.append((x[ok], y[ok]))
-    pairs = np.zeros((0, 4), np.int64)
+            shared.append(np.zeros(int(ok.sum()), np.int64))
+    pairs, times = np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
     if found:
         x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         swap = x["fp"] > y["fp"]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
-        pairs = np.unique(np.stack([x["fp"], x["n"].astype(np.int64), y["fp"], y["n"].astype(np.int64)], 1), axis=0)
+        pairs, back = np.unique(np.stack([x["fp"], x["n"].astype(np.int64), y["fp"], y["n"].astype(np.int64)], 1), axis=0, return_inverse=True)
+        times = np.bincount(back.ravel(), np.concatenate(shared)).astype(np.int64)
     k, m = len(pairs), len(long_)
     token = long_["token"].astype(np.int64) | np.int64(part) << 32
     zero = lambda n: np.zeros(n, np.int64)
     cols = [
         np.concatenate([zero(k), np.ones(m, np.int64)]), np.concatenate([zero(k), token]), np.concatenate([pairs[:, 0], long_["fp"]]), np.concatenate([pairs[:, 1], long_["n"].astype(np.int64)]),
-        np.concatenate([pairs[:, 2], zero(m)]), np.concatenate([pairs[:, 3], zero(m)]), np.concatenate([zero(k), long_["at"].astype(np.int64)]),
+        np.concatenate([pairs[:, 2], zero(m)]), np.concatenate([pairs[:, 3], zero(m)]), np.concatenate([times, long_["at"].astype(np.int64)]),
     ]
     return pa.Table.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, _LISTS)], schema=_LISTS)
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """kind 0: candidate pairs (a below b); kind 1: entries of long lists."""
+    """kind 0: candidate pairs (a below b), with the number of short lists they share as `at`; kind 1: entries of long lists."""
 
     def run(key, part):
         return _pairs_of_part(part.column("data").to_pylist(), key[0].as_py())
@@ -211,15 +214,19 @@ def _wanted(fps: DataFrame):
 
 
 def _sets(docs: DataFrame, fps: DataFrame, maps: bool = False) -> DataFrame:
-    """fp, n, data: the sorted tokens (or their parity map) of each wanted set, once."""
+    """fp, data: each wanted set once, as its compressed text (smaller than its hashes, which do not compress) or as its
+    parity map."""
     filter_ = _wanted(fps)
 
     def run(batches):
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
         seen: set[int] = set()
         bits = filter_.value
         for batch in batches:
-            fp, n, data = [], [], []
-            for tokens in S.sets(batch.column(2)):
+            fp, data = [], []
+            for text, tokens in zip(batch.column(2), S.sets(batch.column(2))):
                 f = S.print_of(tokens)
                 at = f & ((1 << FILTER_BITS) - 1)
                 if f in seen or not len(tokens) or not (int(bits[at >> 6]) >> (at & 63)) & 1:
@@ -228,11 +235,10 @@ def _sets(docs: DataFrame, fps: DataFrame, maps: bool = False) -> DataFrame:
                     seen.clear()
                 seen.add(f)
                 fp.append(f)
-                n.append(len(tokens))
-                data.append(parity(tokens).tobytes() if maps else tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], names=["fp", "n", "data"])
+                data.append(parity(tokens).tobytes() if maps else packer.compress(text.as_buffer()))
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(data, pa.binary())], names=["fp", "data"])
 
-    rows = _source(docs).mapInArrow(run, "fp long, n int, data binary")
+    rows = _source(docs).mapInArrow(run, "fp long, data binary")
     return rows.join(fps.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
@@ -243,14 +249,33 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8))
 
 
+class _Unpacked:
+    """Sets of packed texts; the last few stay, since a leader's pairs come one after the other."""
+
+    def __init__(self) -> None:
+        import zstandard
+
+        self.unpack, self.held = zstandard.ZstdDecompressor().decompress, {}
+
+    def __call__(self, fp: int, data) -> np.ndarray:
+        tokens = self.held.get(fp)
+        if tokens is None:
+            if len(self.held) >= 64:
+                self.held.clear()
+            raw = np.frombuffer(self.unpack(data.as_buffer()), np.uint8)
+            tokens = self.held[fp] = S.set_of(S.word_hashes(raw))
+        return tokens
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, na, b, nb, common: exact intersection sizes."""
 
     def run(batches):
+        get = _Unpacked()
         for batch in batches:
             common = []
-            for x, y in zip(batch.column(4), batch.column(5)):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4), batch.column(5)):
+                u, v = get(a, x), get(b, y)
                 at = np.searchsorted(v, u)
                 at[at == len(v)] = 0
                 common.append(int((v[at] == u).sum()))
@@ -264,8 +289,9 @@ def _linked(common, na, nb, percent: int = PERCENT):
     return common * 100 >= (na + nb - common) * percent
 
 
-def _across(entries: DataFrame) -> DataFrame:
-    """Round two: pairs of one list in different components that no filter rules out.
+def _across(entries: DataFrame, best: bool) -> DataFrame:
+    """Pairs of one list in different components that no filter rules out; with `best`, for each set and other component
+    only the pair whose maps are nearest (any one link joins the components).
 
     entries: token, block, own, fp, n, at, comp, lead, far (distance to lead), map. kind 0: to verify; kind 1: linked.
     """
@@ -294,7 +320,12 @@ def _across(entries: DataFrame) -> DataFrame:
             known = (col["lead"][j] == col["lead"][i]) & (col["far"][j] >= 0) & (col["far"][i] >= 0)
             near[known] = (col["far"][j] + col["far"][i])[known] <= room[known]
             far[known] = np.abs(col["far"][j] - col["far"][i])[known] > room[known]
-            far |= np.bitwise_count(maps[j] ^ maps[i]).sum(1) > room
+            apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1).astype(np.int64)
+            far |= apart > room
+            if best:
+                order_ = np.lexsort((apart - room, far, ~near, col["comp"][j]))
+                first = order_[np.concatenate([[True], col["comp"][j][order_][1:] != col["comp"][j][order_][:-1]])]
+                j, near, far = j[first], near[first], far[first]
             for k, kind in ((j[near], 1), (j[~near & ~far], 0)):
                 out.append(np.stack([np.full(len(k), kind), np.full(len(k), col["fp"][i]), np.full(len(k), n[i]), col["fp"][k], n[k]], 1))
         rows = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
@@ -306,6 +337,19 @@ def _across(entries: DataFrame) -> DataFrame:
     return entries.groupBy("token", "block").applyInArrow(run, "kind int, a long, na int, b long, nb int")
 
 
+def _spread(rest: DataFrame, comps: DataFrame) -> DataFrame:
+    """Entries of lists that still have several components, dealt into blocks; those outside a list's main component go to
+    all blocks of the list."""
+    entries = rest.join(comps.withColumnRenamed("node", "fp").withColumnRenamed("root", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    by_comp = entries.groupBy("token", "comp").agg(F.count("*").alias("m"))
+    mixed = by_comp.groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("size")).where("comps > 1")
+    entries = entries.join(mixed.select("token", "main", "size"), "token")
+    blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
+    home = F.pmod(F.col("fp"), blocks).cast("int")
+    everywhere = F.when(F.col("comp") == F.col("main"), F.array(home)).otherwise(F.sequence(F.lit(0), blocks - 1))
+    return entries.withColumn("home", home).withColumn("block", F.explode(everywhere)).withColumn("own", (F.col("block") == F.col("home")).cast("int"))
+
+
 def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """u, v: links between fingerprints whose components are those of all links."""
     spark = docs.sparkSession
@@ -313,41 +357,46 @@ def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     total = profile.where("kind = 0").agg(F.sum(F.expr(f"n + 1 - cast(ceil({PERCENT} * n / 100) AS int)"))).first()[0] or 0
     n_parts = max(8, -(-total // POSTINGS_PER_PART))
     lists = cut(_lists(_postings(docs, order, n_parts)))
-    pairs = lists.where("kind = 0").select("a", "na", "b", "nb").distinct()
-    pairs = cut(pairs)
+    # round one: two sets share no more tokens than the short lists they share, the long lists either is in, and what lies
+    # behind their prefixes
+    long_ = lists.where("kind = 1").groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("k"))
+    pairs = lists.where("kind = 0").groupBy("a", "na", "b", "nb").agg(F.sum("at").alias("shared"))
+    pairs = pairs.join(long_.select(F.col("fp").alias("a"), F.col("k").alias("ka")), "a", "left").join(long_.select(F.col("fp").alias("b"), F.col("k").alias("kb")), "b", "left")
+    most = F.col("shared") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) + F.greatest(*[F.floor(F.col(c) * PERCENT / 100 + 0.99) - 1 for c in ("na", "nb")])
+    pairs = cut(pairs.where(most * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT).select("a", "na", "b", "nb"))
     fps = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     checked = cut(_verified(pairs, _sets(docs, fps)))
     first = checked.where(_linked(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
     comps = cut(components(first))
 
     entries = lists.where("kind = 1").select("token", F.col("a").alias("fp"), F.col("na").alias("n"), "at")
-    entries = entries.join(comps.withColumnRenamed("node", "fp").withColumnRenamed("root", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    by_comp = entries.groupBy("token", "comp").agg(F.count("*").alias("m"))
-    mixed = by_comp.groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", "m").alias("main"), F.sum("m").alias("size")).where("comps > 1")
-    rest = cut(entries.join(mixed.select("token", "main", "size"), "token"))
+    open_lists = _spread(entries, comps).select("token").distinct()
+    rest = cut(entries.join(open_lists, "token", "left_semi"))
     if rest.isEmpty():
         return first
     distance = F.col("na") + F.col("nb") - 2 * F.col("common")
     ends = checked.select(F.col("a").alias("lead"), F.col("b").alias("fp"), distance.alias("far")).unionByName(checked.select(F.col("b").alias("lead"), F.col("a").alias("fp"), distance.alias("far")))
-    leads = ends.groupBy("fp").agg(F.min(F.struct(S_rank(F.col("lead")).alias("r"), "lead", "far")).alias("x")).select("fp", "x.lead", "x.far")
-    fps2 = rest.select("fp").distinct()
-    maps = _sets(docs, fps2, maps=True).select("fp", F.col("data").alias("map"))
-    rest = rest.join(leads, "fp", "left").join(maps, "fp").withColumn("lead", F.coalesce("lead", F.lit(0))).withColumn("far", F.coalesce("far", F.lit(-1)))
-    blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
-    home = F.pmod(F.col("fp"), blocks).cast("int")
-    spread = F.when(F.col("comp") == F.col("main"), F.array(home)).otherwise(F.sequence(F.lit(0), blocks - 1))
-    rest = rest.withColumn("home", home).withColumn("block", F.explode(spread)).withColumn("own", (F.col("block") == F.col("home")).cast("int"))
-    across = cut(_across(rest.select("token", "block", "own", "fp", "n", "at", "comp", "lead", "far", "map")).distinct())
-    derived = across.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    open_ = across.where("kind = 0").select("a", "na", "b", "nb").join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    open_ = cut(open_)
-    fps3 = open_.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    second = _verified(open_, _sets(docs, fps3)).where(_linked(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    tree = comps.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    return tree.unionByName(derived).unionByName(second)
-
-
-def S_rank(c):
+    leads = ends.groupBy("fp").agg(F.min(F.struct(_rank(F.col("lead")).alias("r"), "lead", "far")).alias("x")).select("fp", "x.lead", "x.far")
+    maps = _sets(docs, rest.select("fp").distinct(), maps=True).select("fp", F.col("data").alias("map"))
+    rest = cut(rest.join(leads, "fp", "left").join(maps, "fp").withColumn("lead", F.coalesce("lead", F.lit(0))).withColumn("far", F.coalesce("far", F.lit(-1))))
+    done = checked.select("a", "b")
+    tree = comps
+    for best in (True, False):  # the most promising pairs first; then whatever is left between components
+        spread = _spread(rest, tree).select("token", "block", "own", "fp", "n", "at", "comp", "lead", "far", "map")
+        across = cut(_across(spread, best).distinct())
+        derived = across.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        pairs = cut(across.where("kind = 0").select("a", "na", "b", "nb").join(done, ["a", "b"], "left_anti"))
+        fps = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        verified = cut(_verified(pairs, _sets(docs, fps)))
+        found = verified.where(_linked(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        edges = tree.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(derived).unionByName(found)
+        if best:
+            tree = cut(components(edges))
+            done = done.unionByName(verified.select("a", "b"))
+    return edges
+
+
+def _rank(c):
     """An order of leaders that favours the same few."""
     return F.xxhash64(c, F.lit(11))
 

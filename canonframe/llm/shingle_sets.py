@@ -92,6 +92,11 @@ def _short(words: np.ndarray) -> np.ndarray:
     return mix((words * _TURN[: len(words)]).sum(dtype=np.uint64, keepdims=True) + _TURN[SHINGLE])
 
 
+def set_of(words: np.ndarray) -> np.ndarray:
+    """The set of one text's words."""
+    return np.unique(_shingles(words)) if len(words) >= SHINGLE else _short(words)
+
+
 def print_of(tokens: np.ndarray) -> int:
     """A signed 64-bit fingerprint of a set."""
     total = mix(tokens ^ _U(0xD6E8FEB86659FD93)).sum(dtype=np.uint64, keepdims=True) + np.array([len(tokens)], np.uint64) * _TURN[0]
