@@ -114,8 +114,9 @@ def content_hash(data: Column | str, **options) -> Column:
 
 
 def is_canonical(data: Column | str, **options) -> Column:
-    """Whether a document already is what canonicalize gives; false for one that cannot be read."""
-    return F.coalesce(try_canonicalize(data, **options).eqNullSafe(_column(data)), F.lit(False))
+    """Whether a document already is what canonicalize gives; false for one that cannot be read, null for null."""
+    c = _column(data)
+    return F.when(c.isNotNull(), try_canonicalize(c, **options).eqNullSafe(c))
 
 
 def salvage(data: Column | str) -> Column:
