@@ -10,10 +10,10 @@ from canonframe.operators.nodes import nodes
 
 
 def _steps(df: DataFrame, data: str, doc_id: str) -> DataFrame:
-    """Nodes with a step-exact path and, for scalars, their canonical text."""
+    """Nodes with their place and, for scalars, their canonical text."""
     n = nodes(df, data, doc_id)
     text = F.when(F.col("kind") == "number", canon_number(F.when(F.col("kind") == "number", F.col("token")))).otherwise(F.col("token"))
-    return n.select(doc_id, "path", "kind", text.alias("text"), "depth", F.expr("regexp_replace(path, '(\\\\.[^.\\\\[]*|\\\\[[0-9]+\\\\])$', '')").alias("parent"))
+    return n.select(doc_id, "pointer", "path", "kind", text.alias("text"))
 
 
 def diff_tables(left: DataFrame, right: DataFrame, data: str, doc_id: str) -> DataFrame:
@@ -21,16 +21,15 @@ def diff_tables(left: DataFrame, right: DataFrame, data: str, doc_id: str) -> Da
 
     A changed kind, or a node on one side only, is reported once: its descendants are not (their parent is not shared by
     both sides with the same kind). Documents on one side only differ at the root. old and new are canonical texts of
-    scalars and null for containers. Paths are report paths; keys with points or brackets may make two of them equal, in
-    which case diff_documents() is exact.
+    scalars and null for containers. Nodes meet by JSON Pointer, which is exact below parents of the same kind.
     """
-    a = _steps(left, data, doc_id).select(doc_id, "path", "parent", F.col("kind").alias("ka"), F.col("text").alias("ta"))
-    b = _steps(right, data, doc_id).select(doc_id, "path", "parent", F.col("kind").alias("kb"), F.col("text").alias("tb"))
-    joined = a.join(b, [doc_id, "path", "parent"], "full_outer")
-    same = joined.where((F.col("ka") == F.col("kb")) & F.col("ka").isin("object", "array")).select(doc_id, F.col("path").alias("parent"))
+    a = _steps(left, data, doc_id).select(doc_id, "pointer", F.col("path").alias("pa"), F.col("kind").alias("ka"), F.col("text").alias("ta"))
+    b = _steps(right, data, doc_id).select(doc_id, "pointer", F.col("path").alias("pb"), F.col("kind").alias("kb"), F.col("text").alias("tb"))
+    joined = a.join(b, [doc_id, "pointer"], "full_outer")
+    same = joined.where((F.col("ka") == F.col("kb")) & F.col("ka").isin("object", "array")).select(doc_id, F.col("pointer").alias("parent"))
     differs = (F.col("ka").isNull()) | (F.col("kb").isNull()) | (F.col("ka") != F.col("kb")) | (~F.col("ta").eqNullSafe(F.col("tb")))
-    bad = joined.where(differs)
-    roots = bad.where("path = '$'")
-    inner = bad.where("path <> '$'").join(same, [doc_id, "parent"], "left_semi")
+    bad = joined.where(differs).withColumn("parent", F.regexp_replace("pointer", "/[^/]*$", ""))
+    roots = bad.where("pointer = ''")
+    inner = bad.where("pointer <> ''").join(same, [doc_id, "parent"], "left_semi")
     op = F.when(F.col("ka").isNull(), "+").when(F.col("kb").isNull(), "-").otherwise("~")
-    return roots.unionByName(inner).select(doc_id, op.alias("op"), "path", F.col("ta").alias("old"), F.col("tb").alias("new"))
+    return roots.select(*inner.columns).unionByName(inner).select(doc_id, op.alias("op"), F.coalesce("pa", "pb").alias("path"), F.col("ta").alias("old"), F.col("tb").alias("new"))

@@ -9,32 +9,33 @@ from pyspark.sql.functions import udtf
 
 from canonframe.kernel import parser, text
 from canonframe.kernel.numbers import canonical
+from canonframe.kernel.pointer import joined
 from canonframe.kernel.serialize import dumps
 from canonframe.kernel.values import Num, kind_of
 
-NODE = "node_id long, parent_id long, depth int, path string, key string, ordinal int, kind string, token string, n_children int, last_descendant long"
-_ARROW = pa.schema([("node_id", pa.int64()), ("parent_id", pa.int64()), ("depth", pa.int32()), ("path", pa.string()), ("key", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("token", pa.string()), ("n_children", pa.int32()), ("last_descendant", pa.int64())])
+NODE = "node_id long, parent_id long, depth int, path string, key string, ordinal int, kind string, token string, n_children int, last_descendant long, pointer string"
+_ARROW = pa.schema([("node_id", pa.int64()), ("parent_id", pa.int64()), ("depth", pa.int32()), ("path", pa.string()), ("key", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("token", pa.string()), ("n_children", pa.int32()), ("last_descendant", pa.int64()), ("pointer", pa.string())])
 
 
 def node_rows(value) -> list[list]:
     """Nodes in pre-order. token: a scalar's canonical text as written before number canonicalization; null for
-    containers. Paths are reports' paths ($.a[0]); keys and ordinals identify steps without ambiguity."""
+    containers. path is a report's path ($.a[0]); pointer, the JSON Pointer, tells nodes of equal parents apart exactly."""
     rows: list[list] = []
-    stack: list = [(value, None, 0, "$", None, None)]
+    stack: list = [(value, None, 0, "$", None, None, "")]
     open_: list[list] = []
     while stack:
-        v, parent, depth, path, key, ordinal = stack.pop()
+        v, parent, depth, path, key, ordinal, at = stack.pop()
         while len(open_) > depth:
             open_.pop()[9] = len(rows) - 1
         kind = kind_of(v)
         token = None if kind in ("object", "array") else str(v) if type(v) is Num else dumps(v, nan="string")
         n = len(v) if token is None else 0
-        row = [len(rows), parent, depth, path, key, ordinal, kind, token, n, len(rows)]
+        row = [len(rows), parent, depth, path, key, ordinal, kind, token, n, len(rows), at]
         rows.append(row)
         if kind == "object":
-            stack += [(x, row[0], depth + 1, f"{path}.{k}", k, i) for i, (k, x) in reversed(list(enumerate(v.items())))]
+            stack += [(x, row[0], depth + 1, f"{path}.{k}", k, i, at + joined([k])) for i, (k, x) in reversed(list(enumerate(v.items())))]
         elif kind == "array":
-            stack += [(v[i], row[0], depth + 1, f"{path}[{i}]", None, i) for i in range(n - 1, -1, -1)]
+            stack += [(v[i], row[0], depth + 1, f"{path}[{i}]", None, i, f"{at}/{i}") for i in range(n - 1, -1, -1)]
         if n:
             open_.append(row)
     while open_:

@@ -96,6 +96,8 @@ def test_nodes_and_lint(spark):
 
 def test_diff_tables(spark):
     a, b = texts(spark, '{"x":{"y":1},"z":[1,2]}', "1", "[1]"), texts(spark, '{"x":{"y":1.0},"z":[1,3,4]}', "[1]", "[1.0]")
+    odd = diff_tables(texts(spark, '{"a.b":1,"a":{"b":1},"/~":[0]}'), texts(spark, '{"a.b":2,"a":{"b":3},"/~":{"0":0}}'), "doc", "id")
+    assert sorted((r.path, r.old, r.new) for r in odd.collect() if r.old) == [("$.a.b", "1", "2"), ("$.a.b", "1", "3")] and odd.count() == 3
     got = sorted((r.id, r.op, r.path, r.old or "", r.new or "") for r in diff_tables(a, b, "doc", "id").collect())
     assert got == [(0, "+", "$.z[2]", "", "4"), (0, "~", "$.z[1]", "2", "3"), (1, "~", "$", "1", "")]
 
