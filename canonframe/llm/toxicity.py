@@ -22,8 +22,7 @@ from canonframe.llm.common import body, cut, held_out, table
 
 MAX_TERMS = 2_000
 MAX_EXCEPTIONS = 500
-MIN_Z = 3.5
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.5
 
 # Letters of other scripts that look like Latin ones, and digits that stand for letters.
@@ -105,12 +104,12 @@ def matches(folded: str, auto) -> list[tuple[int, int, float]]:
 
 
 def features(folded: str, auto) -> tuple[float, float, float]:
-    """Heaviest entry; sum of weights damped; sum of weights by length."""
-    found = matches(folded, auto)
+    """Heaviest entry; sum of weights damped; sum of weights by length. A repeated entry counts once."""
+    found = {folded[b : e + 1]: w for b, e, w in matches(folded, auto)}
     if not found:
         return 0.0, 0.0, 0.0
-    total = sum(w for _, _, w in found)
-    return max(w for _, _, w in found), float(np.log1p(total)), float(total / np.sqrt(len(folded) / 6 + 1))
+    total = sum(found.values())
+    return max(found.values()), float(np.log1p(total)), float(total / np.sqrt(len(folded) / 6 + 1))
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -158,10 +157,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = labelled.MAX_LABELLED) -
     if not n_pos or not n_neg:
         return Model({}, (), (0.0, 0.0, 0.0, -20.0))
     odds = F.log((F.col("pos") + 0.5) / F.lit(n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n_neg + 1.0))
-    z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    least = 3 if n_pos < 500 else 6
-    chosen = _counts(rows).where(F.col("pos") >= least).select("term", odds.alias("w"), z.alias("z")).where(F.col("z") >= (2.5 if n_pos < 100 else MIN_Z))
-    weights = {r["term"]: r["w"] for r in chosen.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()}
+    counts = cut(_counts(rows).where(F.col("pos") + F.col("neg") >= 3))
+    n, share = F.col("pos") + F.col("neg"), n_pos / (n_pos + n_neg)
+    # the likelihood ratio of an entry's share of toxic documents against the sample's; as many candidates as there are
+    # give one entry above the limit by chance
+    part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * p))).otherwise(0.0)
+    ratio = 2 * (part("pos", share) + part("neg", 1 - share))
+    limit = 2 * float(np.log(max(counts.count(), 2)))
+    chosen = counts.select("term", odds.alias("w"), ratio.alias("ratio")).where((F.col("w") > 0) & (F.col("ratio") >= limit))
+    weights = {r["term"]: r["w"] for r in chosen.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()}
 
     def table_of(model: Model):
         def run(batches):
