@@ -44,7 +44,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent: int
     """Pairs of documents and items of whose distinct shingles at least `percent` in 100 lie in the document.
 
     Returns __cf_key (row_key of the document), doc_id, item_id, n_shingles, n_found. Equal document rows give one pair;
-    null and empty texts and items give none; empty tables give no rows; other columns are not read.
+    null and empty texts and items, and items without an id, give none; empty tables give no rows; other columns are not read.
     """
     parts = cut(item_shingles(items, k))
     small = parts.count() <= MAX_BROADCAST_SHINGLES
@@ -53,8 +53,9 @@ def contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent: int
     probes = base.select("__cf_key", "doc_id", F.explode(shingle_hashes(F.col("wh"), k)).alias("hash"))
     found = cut(probes.join(held(sketches(parts, percent)), "hash").select("__cf_key", "item_id").distinct())
     texts = docs.select(row_key().alias("__cf_key"), "doc_id", body().alias("text")).join(found.select("__cf_key").distinct(), "__cf_key", "left_semi")
+    texts = texts.select("__cf_key", "doc_id", words().alias("w"))  # once a document, not once a shingle
     # one row for each distinct shingle of a document that was hit, matched with all shingles of the items it may hold
-    runs = texts.select("__cf_key", "doc_id", F.explode(F.array_distinct(shingles(words(), k))).alias("shingle"))
+    runs = texts.select("__cf_key", "doc_id", F.explode(F.array_distinct(shingles(F.col("w"), k))).alias("shingle"))
     hits = runs.join(held(parts), "shingle").groupBy("__cf_key", "doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_found"), F.first("n").alias("n_shingles"))
     return (
         hits.join(found, ["__cf_key", "item_id"], "left_semi")
