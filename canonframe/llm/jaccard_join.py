@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from canonframe.llm import shingle_sets as S
 from canonframe.llm.common import body, cut, row_key, table
 from canonframe.llm.components import components
+from canonframe.llm.decontamination import SHINGLES_SQL
 
 PERCENT = 75
 SKETCH_BITS = 20
@@ -203,39 +204,34 @@ def _lists(postings: DataFrame) -> DataFrame:
     return postings.groupBy("part").applyInArrow(run, "kind int, token long, a long, na int, b long, nb int, at int")
 
 
-def _wanted(fps: DataFrame):
-    """A filter of fixed size (2**FILTER_BITS bits) that holds the fingerprints; it may hold others too."""
-    at = F.col("fp").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = fps.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(fp & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+def _wanted(keys: DataFrame):
+    """A filter of fixed size (2**FILTER_BITS bits) that holds the row keys; it may hold others too."""
+    at = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     for r in words.collect():
         out[r["w"]] = r["bits"]
-    return fps.sparkSession.sparkContext.broadcast(out)
+    return keys.sparkSession.sparkContext.broadcast(out)
 
 
-def _sets(docs: DataFrame, fps: DataFrame, maps: bool = False) -> DataFrame:
+def _sets(docs: DataFrame, fps: DataFrame, standing: DataFrame, maps: bool = False) -> DataFrame:
     """fp, data: each wanted set once, as its compressed text (smaller than its hashes, which do not compress) or as its
-    parity map."""
-    filter_ = _wanted(fps)
+    parity map. standing: fp and the key of the one document that stands for it; other documents are passed over."""
+    filter_ = _wanted(standing.join(fps, "fp", "left_semi"))
 
     def run(batches):
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=3)
-        seen: set[int] = set()
         bits = filter_.value
         for batch in batches:
+            at = batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)
+            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1, pa.bool_()))
             fp, data = [], []
             for text, tokens in zip(batch.column(2), S.sets(batch.column(2))):
-                f = S.print_of(tokens)
-                at = f & ((1 << FILTER_BITS) - 1)
-                if f in seen or not len(tokens) or not (int(bits[at >> 6]) >> (at & 63)) & 1:
-                    continue
-                if len(seen) > SEEN:
-                    seen.clear()
-                seen.add(f)
-                fp.append(f)
-                data.append(parity(tokens).tobytes() if maps else packer.compress(text.as_buffer()))
+                if len(tokens):
+                    fp.append(S.print_of(tokens))
+                    data.append(parity(tokens).tobytes() if maps else packer.compress(text.as_buffer()))
             yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(data, pa.binary())], names=["fp", "data"])
 
     rows = _source(docs).mapInArrow(run, "fp long, data binary")
@@ -357,6 +353,7 @@ def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     total = profile.where("kind = 0").agg(F.sum(F.expr(f"n + 1 - cast(ceil({PERCENT} * n / 100) AS int)"))).first()[0] or 0
     n_parts = max(8, -(-total // POSTINGS_PER_PART))
     lists = cut(_lists(_postings(docs, order, n_parts)))
+    standing = cut(profile.where("kind = 0 AND n > 0").groupBy("fp").agg(F.min("key").alias("key")))
     # round one: two sets share no more tokens than the short lists they share, the long lists either is in, and what lies
     # behind their prefixes
     long_ = lists.where("kind = 1").groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("k"))
@@ -365,7 +362,7 @@ def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     most = F.col("shared") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) + F.greatest(*[F.floor(F.col(c) * PERCENT / 100 + 0.99) - 1 for c in ("na", "nb")])
     pairs = cut(pairs.where(most * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT).select("a", "na", "b", "nb"))
     fps = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    checked = cut(_verified(pairs, _sets(docs, fps)))
+    checked = cut(_verified(pairs, _sets(docs, fps, standing)))
     first = checked.where(_linked(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
     comps = cut(components(first))
 
@@ -377,7 +374,7 @@ def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     distance = F.col("na") + F.col("nb") - 2 * F.col("common")
     ends = checked.select(F.col("a").alias("lead"), F.col("b").alias("fp"), distance.alias("far")).unionByName(checked.select(F.col("b").alias("lead"), F.col("a").alias("fp"), distance.alias("far")))
     leads = ends.groupBy("fp").agg(F.min(F.struct(_rank(F.col("lead")).alias("r"), "lead", "far")).alias("x")).select("fp", "x.lead", "x.far")
-    maps = _sets(docs, rest.select("fp").distinct(), maps=True).select("fp", F.col("data").alias("map"))
+    maps = _sets(docs, rest.select("fp").distinct(), standing, maps=True).select("fp", F.col("data").alias("map"))
     rest = cut(rest.join(leads, "fp", "left").join(maps, "fp").withColumn("lead", F.coalesce("lead", F.lit(0))).withColumn("far", F.coalesce("far", F.lit(-1))))
     done = checked.select("a", "b")
     tree = comps
@@ -387,7 +384,7 @@ def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
         derived = across.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
         pairs = cut(across.where("kind = 0").select("a", "na", "b", "nb").join(done, ["a", "b"], "left_anti"))
         fps = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        verified = cut(_verified(pairs, _sets(docs, fps)))
+        verified = cut(_verified(pairs, _sets(docs, fps, standing)))
         found = verified.where(_linked(F.col("common"), F.col("na"), F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
         edges = tree.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(derived).unionByName(found)
         if best:
@@ -431,3 +428,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS ({SHINGLES_SQL.format(id="doc_id", table="documents")}),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b USING (s) JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT reach.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY reach.doc_id
+"""
