@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op8_suffix_dedup": substring_dedup.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
 }
