@@ -27,6 +27,7 @@ MIN_DOCS = 8
 #: Least share of positions that stay constant in a template.
 CONSTANT = 0.6
 FILTER_BITS = 24
+SALTS = 32
 _DIGIT = re.compile("[0-9]")
 WILD = "<*>"
 
@@ -140,7 +141,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     named = cut(entries.select("key", "doc_id", "line", "leaf", "text_hash").join(templates(lines, min_docs), ["leaf", "text_hash"]).select("key", "doc_id", "line", "template"))
     per_doc = named.groupBy("template", "key").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"))
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
-    hit = named.join(recurring.select("template", "first"), "template").where(~((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line"))))
+    # a template may hold a third of all lines: its lines are dealt to SALTS tasks, each with its own copy of the template
+    salted = recurring.select("template", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = named.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+    hit = named.join(salted, ["template", "salt"]).where(~((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line"))))
     return hit.groupBy("key").agg(F.collect_set("line").alias("lines"))
 
 
