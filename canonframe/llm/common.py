@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 N_FOLDS = 5
 
 
+#: Bytes of an Arrow batch on its way to a worker: long texts make small batches, and a worker holds few of them.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,6 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
     a temporary folder is used.
     """
     spark = df.sparkSession
+    small_batches(spark)
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="canonframe-checkpoints-"))
