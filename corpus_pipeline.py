@@ -22,7 +22,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, but for the first; a document of which nothing is left goes."""
     names = docs.columns
     out = line_dedup.deduplicate(docs)
-    emptied = (F.col("__cf_dropped") > 0) & (F.trim("text") == "")
+    emptied = (F.col("__cf_dropped") > 0) & F.col("text").rlike(r"\A\s*\z")
     out = out.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__cf_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
