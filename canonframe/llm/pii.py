@@ -172,7 +172,7 @@ def select_spans(found: DataFrame, precision: float = PRECISION) -> DataFrame:
         limit = F.when(F.col("kind") == k, F.lit(v)).otherwise(limit)
     scored = rows.withColumn("margin", F.expr(trees.sql(FEATURES)))
     base = F.col("valid") & F.col("kind").isin(*BASE)
-    # an added span must say something new: candidates of a base kind that failed its rule are not added under its name
+    # candidates of a base kind that failed its rule are not added under its name
     added = ~F.col("kind").isin(*BASE) & (F.col("margin") >= limit)
     return scored.where(base | added).select("__cf_key", "kind", "start", "end", base.alias("base"))
 
@@ -188,6 +188,10 @@ def redactions(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     chosen = select_spans(matches(docs), precision)
+    # an added span that lies inside a base span says nothing new
+    sofar = Window.partitionBy("__cf_key").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.max(F.when(F.col("base"), F.col("end"))).over(sofar) >= F.col("end")
+    chosen = chosen.withColumn("inside", F.coalesce(inside, F.lit(False))).where(F.col("base") | ~F.col("inside"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.struct("start", order.alias("order"), "end", "kind")
     by_doc = chosen.groupBy("__cf_key").agg(
