@@ -171,21 +171,24 @@ def parse(data: bytes) -> Audio:
     out = Audio()
     out.tags, at = _id3v2(data)
     end = len(data)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for name, lo, hi in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
-            if text := data[end + lo : end + hi].split(b"\0")[0].decode("latin-1").strip():
-                out.tags.setdefault(f"v1:{name}", text)
+    tail = end - 128 if data[-128:-125] == b"TAG" else -1  # an ID3v1 tag, unless a frame holds these bytes
     kind = None
     while at + 4 <= end:
+        if at == tail:
+            end = tail
+            for name, lo, hi in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+                if text := data[end + lo : end + hi].split(b"\0")[0].decode("latin-1").strip():
+                    out.tags.setdefault(f"v1:{name}", text)
+            break
         h = header(data[at : at + 4])
         follows = at + h.length if h else 0
-        sure = h is not None and follows <= end and (follows + 4 > end or (n := header(data[follows : follows + 4])) is not None and n.kind == h.kind)
-        if h is not None and not sure and kind == h.kind and follows <= end:
+        sure = h is not None and follows <= end and (follows + 4 > end or follows == tail or (n := header(data[follows : follows + 4])) is not None and n.kind == h.kind)
+        if h is not None and not sure and kind == h.kind and follows <= end and not at < tail < follows:
             sure = True  # the chain led here; damage begins after this frame
         if not sure:
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
+            nxt = tail if at < tail < nxt else nxt
             out.junk_bytes += nxt - at
             at, kind = nxt, None
             continue

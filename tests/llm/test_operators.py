@@ -215,6 +215,16 @@ def test_mpeg_reader():
     assert mpeg_audio.header(bytes([0xFF, 0xFF, 0x10, 0xC0])).layer == 1 and mpeg_audio.crc16(b"123456789") == 0xAEE7
 
 
+def test_media_of_texts_that_look_like_tags(spark):
+    texts = [("A TAG" + "x" * n)[:n] for n in range(65, 129)] + ["x" * i + "TAG" + "y" * 100 for i in range(200)]
+    out = mpeg_audio.media_features(H.frame(spark, list(enumerate(texts)))).collect()
+    assert {r.doc_id: r.payload_sha256 for r in out} == {i: hashlib.sha256(mpeg_audio.padded(t.encode())).hexdigest() for i, t in enumerate(texts)}
+    media, tag = mpeg_audio.store(b"A TAG" + b"x" * 123), b"TAG" + b"Song".ljust(30, b"\0") + bytes(95)
+    assert "v1:title" not in mpeg_audio.parse(media).tags and mpeg_audio.parse(media + tag).tags["v1:title"] == "Song"
+    cut = mpeg_audio.parse(media[:-50] + tag)  # the last frame is cut short
+    assert cut.tags["v1:title"] == "Song" and len(cut.offsets) == 0 and cut.junk_bytes == len(media) - 50 - mpeg_audio.parse(media).offsets[0]
+
+
 # --- 6 Jaccard join
 def brute_components(rows):
     sets = [H.shingle_set(t) for _, t in rows]
