@@ -4,9 +4,11 @@ A line descends a tree of fixed depth: its number of tokens, then its leading to
 wildcard). In a leaf, a token that fewer than MIN_DOCS documents have at its position is a variable field and becomes the
 wildcard too. If enough positions stay constant, the line's template is that generalised form; else it is the line itself.
 A template that MIN_DOCS documents or more have is recurring: its lines go, but for the first (least doc_id, then line).
+A line that two documents have token by token needs no template: it goes from the second document on (`copies`).
 
 Leaves are counted first, so only lines of leaves that could recur are looked at again; they are few numbers each, and all
-counts are pre-aggregated. Texts move once, to meet the numbers of their dropped lines.
+counts are pre-aggregated. For copies, each line is one row of four numbers. Texts move once, to meet the numbers of their
+dropped lines.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ MIN_DOCS = 8
 CONSTANT = 0.6
 FILTER_BITS = 24
 SALTS = 32
+#: A line that has more than one in so many of all line rows is dealt to SALTS tasks; at most so many lines have.
+BUSY = 4096
 _DIGIT = re.compile("[0-9]")
 WILD = "<*>"
 
@@ -132,8 +136,39 @@ def templates(lines: DataFrame, min_docs: int, constant: float = CONSTANT) -> Da
     return lines.select("leaf", "text_hash").join(made, ["leaf", "text_hash"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "text_hash")))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """key (row_key), lines: the numbers of each document's lines that repeat a recurring template."""
+def _copies(docs: DataFrame, min_tokens: int) -> DataFrame:
+    """key, line: the lines that repeat a line of another document token by token, but for the first of each."""
+
+    def run(batches):
+        schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("raw", pa.int64())])
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for i, line in enumerate(text.split("\n")):
+                    tokens = line.split()
+                    if len(tokens) >= min_tokens:
+                        rows.append((key, doc, i, _hash(" ".join(tokens))))
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    lines = cut(_source(docs).mapInArrow(run, "key long, doc_id long, line int, raw long"))
+    busy = lines.count() // BUSY
+    # equal rows are one document: two documents have a line if two keys do
+    seen = lines.groupBy("raw").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+    seen = cut(seen.where("low <> high").select("raw", "first", (F.col("n") > busy).alias("busy")))
+    salts = F.when(F.col("busy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = seen.select("raw", "first", F.explode(salts).alias("salt"))
+    dealt = lines.join(F.broadcast(seen.where("busy").select("raw", "busy")), "raw", "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("busy"), F.pmod("key", F.lit(SALTS)).cast("int")).otherwise(0))
+    hit = dealt.join(salted, ["raw", "salt"]).where(~((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line"))))
+    return hit.select("key", "line")
+
+
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, copies: bool = False) -> DataFrame:
+    """key (row_key), lines: the numbers of each document's lines that repeat a recurring template or, with copies, a line."""
     leaves = cut(_leaves(docs, min_tokens, min_docs))
     entries = cut(_entries(docs, leaves, min_tokens))
     by_line = entries.select("leaf", "text_hash", "tokens", "key").groupBy("leaf", "text_hash", "key").agg(F.first("tokens").alias("tokens"))
@@ -144,18 +179,21 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     # a template may hold a third of all lines: its lines are dealt to SALTS tasks, each with its own copy of the template
     salted = recurring.select("template", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     named = named.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
-    hit = named.join(salted, ["template", "salt"]).where(~((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line"))))
+    hit = named.join(salted, ["template", "salt"]).where(~((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line")))).select("key", "line")
+    if copies:
+        hit = hit.unionByName(_copies(docs, min_tokens))
     return hit.groupBy("key").agg(F.collect_set("line").alias("lines"))
 
 
-def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, copies: bool = False) -> DataFrame:
     """docs' columns with text replaced by what stays, and __cf_lines, __cf_dropped: numbers of lines before and dropped.
 
     A null text stays null and has no lines; an empty text has one line that has no template. Lines under min_tokens
-    tokens stay. Equal rows are one document and stay alike. Ties of doc_id go by a hash of the row. Empty tables give no
+    tokens stay. With copies, a line that two documents have goes from the second on, whatever min_docs is; the first
+    document keeps the first of them. A line that only one document repeats stays. Equal rows are one document and stay alike. Ties of doc_id go by a hash of the row. Empty tables give no
     rows. A text without dropped lines stays as it is, byte for byte.
     """
-    drops = dropped_lines(docs, min_docs, min_tokens).withColumnRenamed("lines", "__cf_gone")
+    drops = dropped_lines(docs, min_docs, min_tokens, copies).withColumnRenamed("lines", "__cf_gone")
     joined = docs.withColumn("__cf_key", row_key()).join(drops.withColumnRenamed("key", "__cf_key"), "__cf_key", "left")
     parts = F.split("text", "\n")
     kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__cf_gone"), s["i"]))
@@ -168,6 +206,11 @@ def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN
     )
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """deduplicate() as the query and the pipeline use it: recurring templates and all copies of lines go."""
+    return deduplicate(docs, copies=True)
+
+
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = whole(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__cf_lines").cast("long").alias("n_lines"), F.greatest("__cf_dropped", F.lit(0)).cast("long").alias("n_dropped"), "text")

@@ -19,9 +19,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but for the first; a document of which nothing is left goes."""
+    """Lines of recurring templates and copies of lines go, but for the first; a document of which nothing is left goes."""
     names = docs.columns
-    out = line_dedup.deduplicate(docs)
+    out = line_dedup.whole(docs)
     emptied = (F.col("__cf_dropped") > 0) & F.col("text").rlike(r"\A\s*\z")
     out = out.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in names:

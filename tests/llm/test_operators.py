@@ -97,6 +97,30 @@ def test_line_templates_generalise(spark):
 
 
 # --- 2 quality, 4 toxicity
+def test_copies_of_lines_go_from_the_second_document_on(spark):
+    long_ = " ".join(f"word{'abcdefghij'[i % 10]}" for i in range(60))
+    rows = [(3, f"{long_}\nthree is here alone"), (1, f"one is here alone\n{long_}\n{long_}"), (2, f"{long_} \ntwo is here alone"), (4, "said twice in one\nsaid twice in one"), (5, "the same row here"), (5, "the same row here")]
+    out = sorted((r.doc_id, r.text) for r in line_dedup.whole(H.frame(spark, rows)).collect())
+    assert out == [(1, f"one is here alone\n{long_}"), (2, "two is here alone"), (3, "three is here alone"), (4, rows[3][1]), (5, rows[4][1]), (5, rows[4][1])]
+    many = [(i, f"a line that most documents have\nown {'abcdefghijklmnopqrst'[i]} line here") for i in range(20)]
+    out = {r.doc_id: r.text for r in line_dedup.whole(H.frame(spark, many)).collect()}
+    assert out[0] == many[0][1] and all(out[i] == many[i][1].split("\n")[1] for i in range(1, 20))
+
+
+def brute_copies(rows, min_tokens):
+    seen = collections.defaultdict(list)
+    for i, t in dict.fromkeys(rows):
+        for n, line in enumerate((t or "").split("\n")):
+            if len(line.split()) >= min_tokens:
+                seen[tuple(line.split())].append((i, t, n))
+    return seen
+
+
+def test_copies_of_lines_in_a_corpus(spark, docs, rows):
+    out = line_dedup.dropped_lines(docs, 10**6, 3, copies=True).agg(F.sum(F.size("lines"))).first()[0]
+    assert out == sum(len(v) - 1 for v in brute_copies(rows, 3).values() if len({x[:2] for x in v}) > 1) > 0
+
+
 def labelled(spark, n=300):
     rng = random.Random(4)
     vocab = H.vocabulary(rng)
