@@ -169,6 +169,9 @@ def _copies(docs: DataFrame, min_tokens: int) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, copies: bool = False) -> DataFrame:
     """key (row_key), lines: the numbers of each document's lines that repeat a recurring template or, with copies, a line."""
+    if copies:  # shorter lines have no template but themselves
+        hit = _copies(docs, min_tokens)
+        min_tokens = max(min_tokens, DEPTH + 1)
     leaves = cut(_leaves(docs, min_tokens, min_docs))
     entries = cut(_entries(docs, leaves, min_tokens))
     by_line = entries.select("leaf", "text_hash", "tokens", "key").groupBy("leaf", "text_hash", "key").agg(F.first("tokens").alias("tokens"))
@@ -179,9 +182,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     # a template may hold a third of all lines: its lines are dealt to SALTS tasks, each with its own copy of the template
     salted = recurring.select("template", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     named = named.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
-    hit = named.join(salted, ["template", "salt"]).where(~((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line")))).select("key", "line")
-    if copies:
-        hit = hit.unionByName(_copies(docs, min_tokens))
+    repeats = named.join(salted, ["template", "salt"]).where(~((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line")))).select("key", "line")
+    hit = hit.unionByName(repeats) if copies else repeats
     return hit.groupBy("key").agg(F.collect_set("line").alias("lines"))
 
 
@@ -207,8 +209,8 @@ def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN
 
 
 def whole(docs: DataFrame) -> DataFrame:
-    """deduplicate() as the query and the pipeline use it: recurring templates and all copies of lines go."""
-    return deduplicate(docs, copies=True)
+    """deduplicate() as the query and the pipeline use it: recurring templates and all copies of lines go, blank lines stay."""
+    return deduplicate(docs, min_tokens=1, copies=True)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

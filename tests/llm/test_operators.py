@@ -107,6 +107,13 @@ def test_copies_of_lines_go_from_the_second_document_on(spark):
     assert out[0] == many[0][1] and all(out[i] == many[i][1].split("\n")[1] for i in range(1, 20))
 
 
+def test_copies_of_short_lines(spark):
+    rows = [(i, f"Advertisement\nown {'abcdefghij'[i]} text of this document\n\nRead more\n{2000 + i}") for i in range(10)]
+    out = {r.doc_id: r.text for r in line_dedup.whole(H.frame(spark, rows)).collect()}
+    assert out[0] == rows[0][1]
+    assert all(out[i] == f"own {'abcdefghij'[i]} text of this document\n\n{2000 + i}" for i in range(1, 10))
+
+
 def brute_copies(rows, min_tokens):
     seen = collections.defaultdict(list)
     for i, t in dict.fromkeys(rows):
