@@ -2,7 +2,8 @@
 
 A line descends a tree of fixed depth: its number of tokens, then its leading tokens (those with digits count as the
 wildcard). In a leaf, a token that fewer than MIN_DOCS documents have at its position is a variable field and becomes the
-wildcard too. If enough positions stay constant, the line's template is that generalised form; else it is the line itself.
+wildcard too. If enough positions stay constant (wildcards never do), the line's template is that generalised form; else it
+is the line itself, with its digits.
 A template that MIN_DOCS documents or more have is recurring: its lines go, but for the first (least doc_id, then line).
 A line that two documents have token by token needs no template: it goes from the second document on (`copies`).
 
@@ -49,16 +50,24 @@ def tokens_of(line: str) -> list[str]:
     return [WILD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
 
 
+def _token_hash(token: str) -> int:
+    return xxhash.xxh32_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 31)
+
+
 def leaf_of(tokens: list[str], depth: int = DEPTH) -> int:
     return _hash(f"{len(tokens)} " + " ".join(tokens[:depth]))
 
 
-def _lines(text: str, min_tokens: int):
-    """(line number, tokens) of the lines long enough to have a template."""
+def _split(text: str, min_tokens: int):
+    """(line number, line, tokens) of the lines long enough to have a template."""
     for i, line in enumerate(text.split("\n")):
         tokens = tokens_of(line)
         if len(tokens) >= min_tokens:
-            yield i, tokens
+            yield i, line, tokens
+
+
+def _lines(text: str, min_tokens: int):
+    return ((i, tokens) for i, _, tokens in _split(text, min_tokens))
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -96,12 +105,12 @@ def _filter(leaves: DataFrame):
     return leaves.sparkSession.sparkContext.broadcast(out)
 
 
-_ROW = "key long, doc_id long, line int, leaf long, text_hash long, tokens array<int>"
-_ARROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("text_hash", pa.int64()), ("tokens", pa.list_(pa.int32()))])
+_ROW = "key long, doc_id long, line int, leaf long, raw long, text_hash long, tokens array<int>"
+_ARROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("raw", pa.int64()), ("text_hash", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
 
 def _entries(docs: DataFrame, leaves: DataFrame, min_tokens: int) -> DataFrame:
-    """A row for each line whose leaf may recur; tokens as 32-bit hashes."""
+    """A row for each line whose leaf may recur; raw is its text's hash, text_hash that of its tokens, these as 32-bit hashes."""
     filter_ = _filter(leaves)
 
     def run(batches):
@@ -109,11 +118,11 @@ def _entries(docs: DataFrame, leaves: DataFrame, min_tokens: int) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for key, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for i, tokens in _lines(text, min_tokens):
+                for i, line, tokens in _split(text, min_tokens):
                     leaf = leaf_of(tokens)
                     at = leaf & ((1 << FILTER_BITS) - 1)
                     if (int(bits[at >> 6]) >> (at & 63)) & 1:
-                        rows.append((key, doc, i, leaf, _hash(" ".join(tokens)), [xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 31) for t in tokens]))
+                        rows.append((key, doc, i, leaf, _hash(" ".join(line.split())), _hash(" ".join(tokens)), [_token_hash(t) for t in tokens]))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
                     rows = []
@@ -124,16 +133,21 @@ def _entries(docs: DataFrame, leaves: DataFrame, min_tokens: int) -> DataFrame:
 
 
 def templates(lines: DataFrame, min_docs: int, constant: float = CONSTANT) -> DataFrame:
-    """leaf, text_hash, template for each distinct line (leaf, text_hash, tokens, docs: how many documents have it)."""
-    forks = lines.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf")
+    """leaf, text_hash, template for each distinct line (leaf, text_hash, tokens, docs: how many documents have it).
+
+    The template is null where too few positions are constant to generalise the line.
+    """
+    wild = F.lit(_token_hash(WILD))
+    forks = lines.groupBy("leaf").agg(F.count("*").alias("k"), F.max(F.array_contains("tokens", wild)).alias("wild")).where("k > 1 or wild").select("leaf")
     wide = lines.join(forks, "leaf", "left_semi").where(F.size("tokens") > DEPTH)
     each = wide.select("leaf", "text_hash", "docs", F.posexplode("tokens").alias("at", "token"))
     common = each.where(F.col("at") >= DEPTH).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "at", "token", F.lit(1).alias("fixed"))
-    marked = each.join(common, ["leaf", "at", "token"], "left").withColumn("fixed", F.when(F.col("at") < DEPTH, 1).otherwise(F.coalesce("fixed", F.lit(0))))
+    fixed = F.when(F.col("token") == wild, 0).when(F.col("at") < DEPTH, 1).otherwise(F.coalesce("fixed", F.lit(0)))
+    marked = each.join(common, ["leaf", "at", "token"], "left").withColumn("fixed", fixed)
     form = F.sort_array(F.collect_list(F.struct("at", F.when(F.col("fixed") == 1, F.col("token")).alias("token"))))
     made = marked.groupBy("leaf", "text_hash").agg(form.alias("form"), F.avg("fixed").alias("share")).where(F.col("share") >= constant)
     made = made.select("leaf", "text_hash", F.xxhash64(F.col("leaf"), F.to_json("form")).alias("template"))
-    return lines.select("leaf", "text_hash").join(made, ["leaf", "text_hash"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "text_hash")))
+    return lines.select("leaf", "text_hash").join(made, ["leaf", "text_hash"], "left")
 
 
 def _copies(docs: DataFrame, min_tokens: int) -> DataFrame:
@@ -176,7 +190,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     entries = cut(_entries(docs, leaves, min_tokens))
     by_line = entries.select("leaf", "text_hash", "tokens", "key").groupBy("leaf", "text_hash", "key").agg(F.first("tokens").alias("tokens"))
     lines = cut(by_line.groupBy("leaf", "text_hash").agg(F.first("tokens").alias("tokens"), F.count("*").alias("docs")))
-    named = cut(entries.select("key", "doc_id", "line", "leaf", "text_hash").join(templates(lines, min_docs), ["leaf", "text_hash"]).select("key", "doc_id", "line", "template"))
+    named = entries.select("key", "doc_id", "line", "leaf", "raw", "text_hash").join(templates(lines, min_docs), ["leaf", "text_hash"])
+    named = cut(named.select("key", "doc_id", "line", F.coalesce("template", F.xxhash64("leaf", "raw")).alias("template")))
     per_doc = named.groupBy("template", "key").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"))
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
     # a template may hold a third of all lines: its lines are dealt to SALTS tasks, each with its own copy of the template

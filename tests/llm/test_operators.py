@@ -114,6 +114,15 @@ def test_copies_of_short_lines(spark):
     assert all(out[i] == f"own {'abcdefghij'[i]} text of this document\n\n{2000 + i}" for i in range(1, 10))
 
 
+def test_rows_of_numbers_are_no_template(spark):
+    tables = [(i, "\n".join(f"{i}{j} {j}8 19{i}1 4{j}{i}" for j in range(5)) + f"\n{i}7:10 12:3{i} 1{i}:00 kg 1 {i}") for i in range(12)]
+    logs = [(50 + i, f"open the file number {i} now please") for i in range(12)]
+    for out in (line_dedup.whole(H.frame(spark, tables + logs)), line_dedup.deduplicate(H.frame(spark, tables + logs))):
+        got = {r.doc_id: r.text for r in out.collect()}
+        assert all(got[i] == t for i, t in tables)
+        assert got[50] == logs[0][1] and all(got[i] == "" for i, _ in logs[1:])
+
+
 def brute_copies(rows, min_tokens):
     seen = collections.defaultdict(list)
     for i, t in dict.fromkeys(rows):
