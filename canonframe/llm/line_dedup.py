@@ -2,8 +2,8 @@
 
 A line descends a tree of fixed depth: its number of tokens, then its leading tokens (those with digits count as the
 wildcard). In a leaf, a token that fewer than MIN_DOCS documents have at its position is a variable field and becomes the
-wildcard too. If enough positions stay constant (wildcards never do), the line's template is that generalised form; else it
-is the line itself, with its digits.
+wildcard too. If enough positions stay constant (wildcards never do), after the leading ones as well as in all, the line's
+template is that generalised form; else it is the line itself, with its digits.
 A template that MIN_DOCS documents or more have is recurring: its lines go, but for the first (least doc_id, then line).
 A line that two documents have token by token needs no template: it goes from the second document on (`copies`).
 
@@ -27,7 +27,7 @@ from canonframe.llm.common import body, cut, row_key, table
 DEPTH = 3
 MIN_TOKENS = 3
 MIN_DOCS = 8
-#: Least share of positions that stay constant in a template.
+#: Least share of positions that stay constant in a template: of all, and of those after the leading ones.
 CONSTANT = 0.6
 FILTER_BITS = 24
 SALTS = 32
@@ -145,7 +145,9 @@ def templates(lines: DataFrame, min_docs: int, constant: float = CONSTANT) -> Da
     fixed = F.when(F.col("token") == wild, 0).when(F.col("at") < DEPTH, 1).otherwise(F.coalesce("fixed", F.lit(0)))
     marked = each.join(common, ["leaf", "at", "token"], "left").withColumn("fixed", fixed)
     form = F.sort_array(F.collect_list(F.struct("at", F.when(F.col("fixed") == 1, F.col("token")).alias("token"))))
-    made = marked.groupBy("leaf", "text_hash").agg(form.alias("form"), F.avg("fixed").alias("share")).where(F.col("share") >= constant)
+    # all lines of a leaf share the leading tokens, so these say nothing about what follows
+    rest = F.avg(F.when(F.col("at") >= DEPTH, F.col("fixed")))
+    made = marked.groupBy("leaf", "text_hash").agg(form.alias("form"), F.avg("fixed").alias("share"), rest.alias("rest")).where((F.col("share") >= constant) & (F.col("rest") >= constant))
     made = made.select("leaf", "text_hash", F.xxhash64(F.col("leaf"), F.to_json("form")).alias("template"))
     return lines.select("leaf", "text_hash").join(made, ["leaf", "text_hash"], "left")
 

@@ -123,6 +123,13 @@ def test_rows_of_numbers_are_no_template(spark):
         assert got[50] == logs[0][1] and all(got[i] == "" for i, _ in logs[1:])
 
 
+def test_short_lines_with_a_common_beginning_stay(spark):
+    ends = "ada bob cyd dan eve fay gus hal ivo joy kim lea".split()
+    rows = [(i, f"it was the {w}\nand then he {w} {w}\nwe went to {w} yesterday") for i, w in enumerate(ends)]
+    for out in (line_dedup.whole(H.frame(spark, rows)), line_dedup.deduplicate(H.frame(spark, rows))):
+        assert {r.doc_id: r.text for r in out.collect()} == dict(rows)
+
+
 def brute_copies(rows, min_tokens):
     seen = collections.defaultdict(list)
     for i, t in dict.fromkeys(rows):
