@@ -43,6 +43,9 @@ def sketches(parts: DataFrame, percent: int = PERCENT) -> DataFrame:
 def contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Pairs of documents and items of whose distinct shingles at least `percent` in 100 lie in the document.
 
+    An item of fewer than k words has one shingle, all its words, as has a document of fewer than k: they meet only where
+    the document is these words and no more. Inside a longer document such an item is not found.
+
     Returns __cf_key (row_key of the document), doc_id, item_id, n_shingles, n_found. Equal document rows give one pair;
     null and empty texts and items, and items without an id, give none; empty tables give no rows; other columns are not read.
     """
@@ -65,7 +68,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent: int
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that contain no item, with all their columns."""
+    """The rows of docs that contain no item as contained() finds them, with all their columns."""
     bad = contained(docs, items).select("__cf_key").distinct()
     return docs.withColumn("__cf_key", row_key()).join(bad, "__cf_key", "left_anti").drop("__cf_key")
 
