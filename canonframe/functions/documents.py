@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from canonframe.functions.numbers import _column
 from canonframe.kernel import binary, cddl, jdata, jsonschema, jtd, parser, pointer, reports, text
 from canonframe.kernel.document import Canonicalizer, Options
-from canonframe.kernel.numbers import ecmascript
+from canonframe.kernel.numbers import canonical, ecmascript
 from canonframe.kernel.serialize import dumps, jcs_changes
 from canonframe.kernel.values import JsonError
 
@@ -26,6 +26,10 @@ _ISSUES = pa.list_(pa.struct([("loc", pa.string()), ("category", pa.string()), (
 _RECOVERIES = pa.list_(pa.struct([("line", pa.int32()), ("col", pa.int32()), ("message", pa.string())]))
 
 
+#: The issue of a document that nests deeper than a recursive check can follow.
+TOO_DEEP = ("$", "nested too deeply to check")
+
+
 @functools.lru_cache(64)
 def _made(factory: Callable, argument):
     return factory(argument)
@@ -159,6 +163,8 @@ def _or_syntax(f: Callable) -> Callable:
             return f(d)
         except JsonError as e:
             return [("1:1", "syntax", str(e))]
+        except RecursionError:
+            return [(TOO_DEEP[0], "depth", TOO_DEEP[1])]
 
     return run
 
@@ -209,10 +215,9 @@ def _valid(kind: str, data, source, assert_format: bool = False) -> Column:
 
     def f(d):
         try:
-            value = parser.parse(_text_of(d))
-        except JsonError:
+            return _compiled(kind, source, assert_format).is_valid(parser.parse(_text_of(d)))
+        except (JsonError, RecursionError):
             return False
-        return _compiled(kind, source, assert_format).is_valid(value)
 
     return _lift(lambda: f, "boolean", pa.bool_(), False)(data)
 
@@ -234,6 +239,24 @@ def diff_documents(a: Column | str, b: Column | str, **options) -> Column:
     return _lift(lambda: lambda x, y: [_safe(s) for s in reports.diff(parser.parse(_text_of(x)), parser.parse(_text_of(y)), **options)], "array<string>", pa.list_(pa.string()), False)(a, b)
 
 
+def change_rows(a: Column | str, b: Column | str, **options) -> Column:
+    """array<struct<op, path, old, new>>: the differences of two documents; null stands for a missing one."""
+    fields = ("op", "path", "old", "new")
+
+    def rows(x, y):
+        if x is None or y is None:
+            whole = None if x is None and y is None else _safe(dumps(parser.parse(_text_of(y if x is None else x)), **options))
+            found = [] if whole is None else [("+", "$", None, whole) if x is None else ("-", "$", whole, None)]
+        else:
+            found = reports.changes(parser.parse(_text_of(x)), parser.parse(_text_of(y)), **options)
+        return [{k: None if v is None else _safe(v) for k, v in zip(fields, row)} for row in found]
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([rows(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.list_(pa.struct([(f, pa.string()) for f in fields])))
+
+    return F.arrow_udf(two, "array<struct<op: string, path: string, old: string, new: string>>")(_column(a), _column(b))
+
+
 def _transformed(f: Callable, data, argument, lenient: bool, options: dict) -> Column:
     """f(value, argument) as canonical text; the argument is a constant or a column."""
     if isinstance(argument, Column):
@@ -304,6 +327,15 @@ def ecmascript_number(x: Column | str) -> Column:
     return _lift(lambda: f, "string", pa.string(), False)(_column(x).cast("double"))
 
 
+def plain_number(x: Column | str) -> Column:
+    """Canonical plain text of finite doubles; null for the others."""
+
+    def f(v):
+        return canonical(ecmascript(v)) if v - v == 0 else None
+
+    return _lift(lambda: f, "string", pa.string(), False)(_column(x).cast("double"))
+
+
 def register(spark: SparkSession) -> list[str]:
     """Registers the one-argument functions for SQL as json_*; returns their names."""
     from canonframe.operators.nodes import register_tables

@@ -16,12 +16,14 @@ _CHARSETS = {"utf-8": "UTF-8", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE",
 
 
 def enc_string(s: Column | str) -> Column:
-    """A JSON string literal with the least escapes; the rare control characters are looked for once."""
+    """A JSON string literal with the least escapes; most strings need none, and few the long form."""
     c = _column(s)
     short = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), _SHORT, c)
-    rest = [chr(i) for i in range(32) if chr(i) not in "\b\t\n\f\r"]
-    full = reduce(lambda x, e: F.replace(x, F.lit(e), F.lit(f"\\u{ord(e):04x}")), rest, short)
-    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), full).otherwise(short), F.lit('"'))
+    rare = r"[\x00-\x07\x0b\x0e-\x1f]"
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(rare), F.lit(0)))
+    long_ = F.aggregate(found, short, lambda text, x: F.replace(text, x, F.concat(F.lit("\\u00"), F.lpad(F.lower(F.hex(F.ascii(x))), F.lit(2), "0"))))
+    body = F.when(~c.rlike(r'["\\\x00-\x1f]'), c).when(c.rlike(rare), long_).otherwise(short)
+    return F.concat(F.lit('"'), body, F.lit('"'))
 
 
 def sort_keys(keys: Column | str, jcs: bool = False) -> Column:

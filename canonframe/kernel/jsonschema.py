@@ -64,6 +64,8 @@ class Schema:
                 stack += reversed(node)
         self.compiled: dict[int, list[Check]] = {}
         self.check = self.of(self.root)
+        if type(self.root) is dict:  # a bad schema fails when it is made, as far as its top level shows it
+            self.compiled[id(self.root)] = self.checks(self.root)
 
     # -- use
     def errors(self, instance) -> list[tuple[str, str, str]]:
@@ -143,6 +145,8 @@ class Schema:
         if "const" in s:
             constant = _text(s["const"])
             simple("const: value does not equal the constant", lambda v: _text(v) != constant)
+        if "multipleOf" in s and self.number(s["multipleOf"]) == 0:
+            raise JsonError("JSON Schema: multipleOf must not be 0")
         limit("multipleOf", Num, "multipleOf: not a multiple", lambda v, m: not (float(v) / m).is_integer())
         limit("maximum", Num, "maximum exceeded", lambda v, m: float(v) > m)
         limit("minimum", Num, "minimum not met", lambda v, m: float(v) < m)

@@ -9,6 +9,8 @@ from canonframe.kernel.values import JsonError
 TOKEN = re.compile(r"([+-]?)(?:([0-9]+)(?:\.([0-9]*))?|\.([0-9]+))(?:[eE]([+-]?[0-9]+))?\Z")
 #: Most digits that plain format may pad a number to; beyond it the document fails instead of the executor.
 MAX_PLAIN_DIGITS = 10_000_000
+#: Most digits of an exponent, leading zeros apart: reading longer ones would take time quadratic in their length.
+MAX_EXPONENT_DIGITS = 4_000
 
 
 def is_number(token: str) -> bool:
@@ -23,8 +25,13 @@ def _parts(token: str) -> tuple[str, str, int]:
     sign, whole, part, bare, exponent = m.groups()
     fraction = bare if bare is not None else part or ""
     digits = ((whole or "") + fraction).lstrip("0")
-    power = int(exponent or 0) - len(fraction)
     short = digits.rstrip("0")
+    if not short:
+        return "", "", 0
+    written = (exponent or "0").lstrip("+-").lstrip("0")
+    if len(written) > MAX_EXPONENT_DIGITS:
+        raise JsonError(f"number '{token[:40]}' has an exponent of more than {MAX_EXPONENT_DIGITS} digits")
+    power = int(written or 0) * (-1 if exponent and exponent[0] == "-" else 1) - len(fraction)
     return ("-" if sign == "-" and short else ""), short, power + len(digits) - len(short)
 
 

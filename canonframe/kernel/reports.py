@@ -197,28 +197,32 @@ def geojson(raw: bytes | str, encoding: str | None = None) -> list[Issue]:
     return geo.out
 
 
-def diff(a, b, **options) -> list[str]:
-    """Lines ~ changed, + only in b, - only in a, depth first with keys in canonical order."""
+def changes(a, b, **options):
+    """(op, path, old, new) of the topmost differences, depth first with keys in canonical order: ~ changed, + only in b,
+    - only in a. old and new are canonical texts, None where there is none."""
     writer = Writer(**options)
-    out: list[str] = []
     missing = object()
     stack = [("$", a, b)]
     while stack:
         at, x, y = stack.pop()
-        if y is missing:
-            out.append(f"- {at}: {writer.text(x)}")
-        elif x is missing:
-            out.append(f"+ {at}: {writer.text(y)}")
-        elif (kind := kind_of(x)) != kind_of(y):
-            out.append(f"~ {at}: {writer.text(x)} => {writer.text(y)}")
+        if x is missing or y is missing:
+            yield ("+", at, None, writer.text(y)) if x is missing else ("-", at, writer.text(x), None)
+            continue
+        kind = kind_of(x)
+        if kind != kind_of(y) or kind not in ("object", "array"):
+            old, new = writer.text(x), writer.text(y)
+            if old != new or kind != kind_of(y):
+                yield "~", at, old, new
         elif kind == "object":
             stack += [(f"{at}.{k}", x.get(k, missing), y.get(k, missing)) for k in sorted({**x, **y}, key=writer.order, reverse=True)]
-        elif kind == "array":
+        else:
             n = max(len(x), len(y))
             stack += [(f"{at}[{i}]", x[i] if i < len(x) else missing, y[i] if i < len(y) else missing) for i in range(n - 1, -1, -1)]
-        elif (s := writer.text(x)) != (t := writer.text(y)):
-            out.append(f"~ {at}: {s} => {t}")
-    return out
+
+
+def diff(a, b, **options) -> list[str]:
+    """The same as lines."""
+    return [f"{op} {at}: " + " => ".join(t for t in (old, new) if t is not None) for op, at, old, new in changes(a, b, **options)]
 
 
 def render(issues: list[Issue]) -> str:

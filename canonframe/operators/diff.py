@@ -1,35 +1,21 @@
-"""Structural difference of two tables of documents: a full outer join of their nodes."""
+"""Structural difference of two tables of documents: they meet by id, and one kernel pass compares each pair."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canonframe.functions.numbers import canon_number
-from canonframe.operators.nodes import nodes
-
-
-def _steps(df: DataFrame, data: str, doc_id: str) -> DataFrame:
-    """Nodes with their place and, for scalars, their canonical text."""
-    n = nodes(df, data, doc_id)
-    text = F.when(F.col("kind") == "number", canon_number(F.when(F.col("kind") == "number", F.col("token")))).otherwise(F.col("token"))
-    return n.select(doc_id, "pointer", "path", "kind", text.alias("text"))
+from canonframe.functions.documents import change_rows
 
 
 def diff_tables(left: DataFrame, right: DataFrame, data: str, doc_id: str) -> DataFrame:
-    """doc_id, op (~ + -), path, old, new: the topmost differences of documents with the same id.
+    """doc_id, op (~ + -), path, old, new: the topmost differences of documents with the same id, values as canonical text.
 
-    A changed kind, or a node on one side only, is reported once: its descendants are not (their parent is not shared by
-    both sides with the same kind). Documents on one side only differ at the root. old and new are canonical texts of
-    scalars and null for containers. Nodes meet by JSON Pointer, which is exact below parents of the same kind.
+    A changed kind, or a node on one side only, is reported once, with its whole value. A document on one side only (or
+    null on the other) differs at the root. Documents of equal text never leave the JVM. Rows that repeat an id are
+    compared with each row of that id on the other side; a null id meets none.
     """
-    a = _steps(left, data, doc_id).select(doc_id, "pointer", F.col("path").alias("pa"), F.col("kind").alias("ka"), F.col("text").alias("ta"))
-    b = _steps(right, data, doc_id).select(doc_id, "pointer", F.col("path").alias("pb"), F.col("kind").alias("kb"), F.col("text").alias("tb"))
-    joined = a.join(b, [doc_id, "pointer"], "full_outer")
-    same = joined.where((F.col("ka") == F.col("kb")) & F.col("ka").isin("object", "array")).select(doc_id, F.col("pointer").alias("parent"))
-    differs = (F.col("ka").isNull()) | (F.col("kb").isNull()) | (F.col("ka") != F.col("kb")) | (~F.col("ta").eqNullSafe(F.col("tb")))
-    bad = joined.where(differs).withColumn("parent", F.regexp_replace("pointer", "/[^/]*$", ""))
-    roots = bad.where("pointer = ''")
-    inner = bad.where("pointer <> ''").join(same, [doc_id, "parent"], "left_semi")
-    op = F.when(F.col("ka").isNull(), "+").when(F.col("kb").isNull(), "-").otherwise("~")
-    return roots.select(*inner.columns).unionByName(inner).select(doc_id, op.alias("op"), F.coalesce("pa", "pb").alias("path"), F.col("ta").alias("old"), F.col("tb").alias("new"))
+    a = left.select(doc_id, F.col(data).alias("__cf_left"))
+    b = right.select(doc_id, F.col(data).alias("__cf_right"))
+    both = a.join(b, doc_id, "full_outer").where(~F.col("__cf_left").eqNullSafe(F.col("__cf_right")))
+    return both.select(doc_id, F.explode(change_rows("__cf_left", "__cf_right")).alias("x")).select(doc_id, "x.op", "x.path", "x.old", "x.new")

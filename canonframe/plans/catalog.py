@@ -310,7 +310,7 @@ def _order_docs(spark, d) -> tuple[DataFrame, DataFrame]:
 
 @query("""SELECT o_orderkey, '~' AS op, '$.status' AS path, '"' || o_orderstatus || '"' AS old, '"X"' AS new FROM orders WHERE o_orderkey % 7 = 0
 UNION ALL SELECT o_orderkey, '+', '$.tags[2]', NULL, '3' FROM orders WHERE o_orderkey % 11 = 0
-UNION ALL SELECT o_orderkey, '-', '$.cust', NULL, NULL FROM orders WHERE o_orderkey % 13 = 0""")
+UNION ALL SELECT o_orderkey, '-', '$.cust', '{"key":' || o_custkey || '}', NULL FROM orders WHERE o_orderkey % 13 = 0""")
 def diff_orders(spark, d):
     a, b = _order_docs(spark, d)
     return diff_tables(a, b, "doc", "o_orderkey")

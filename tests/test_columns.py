@@ -11,7 +11,10 @@ from canonframe.functions.formats import format_ok
 from canonframe.functions.numbers import canon_number, is_number_token, try_canon_number
 from canonframe.functions.strings import decode_bytes, enc_string, encode_output, sort_keys
 from canonframe.kernel import formats, numbers
+from canonframe.kernel.parser import parse
+from canonframe.kernel.pointer import merge
 from canonframe.kernel.serialize import string
+from canonframe.kernel.values import JsonError
 from canonframe.operators import profile
 from canonframe.operators.diff import diff_tables
 from canonframe.operators.nodes import key_order_issues, nodes
@@ -97,9 +100,11 @@ def test_nodes_and_lint(spark):
 def test_diff_tables(spark):
     a, b = texts(spark, '{"x":{"y":1},"z":[1,2]}', "1", "[1]"), texts(spark, '{"x":{"y":1.0},"z":[1,3,4]}', "[1]", "[1.0]")
     odd = diff_tables(texts(spark, '{"a.b":1,"a":{"b":1},"/~":[0]}'), texts(spark, '{"a.b":2,"a":{"b":3},"/~":{"0":0}}'), "doc", "id")
-    assert sorted((r.path, r.old, r.new) for r in odd.collect() if r.old) == [("$.a.b", "1", "2"), ("$.a.b", "1", "3")] and odd.count() == 3
+    assert sorted((r.path, r.old, r.new) for r in odd.collect()) == [("$./~", "[0]", '{"0":0}'), ("$.a.b", "1", "2"), ("$.a.b", "1", "3")]
+    sides = diff_tables(texts(spark, "[1, 2]", None, '{"k": {"z": 1.0, "a": []}}'), texts(spark, None, '{"b":1}', "{}"), "doc", "id")
+    assert sorted(map(tuple, sides.collect())) == [(0, "-", "$", "[1,2]", None), (1, "+", "$", None, '{"b":1}'), (2, "-", "$.k", '{"a":[],"z":1}', None)]
     got = sorted((r.id, r.op, r.path, r.old or "", r.new or "") for r in diff_tables(a, b, "doc", "id").collect())
-    assert got == [(0, "+", "$.z[2]", "", "4"), (0, "~", "$.z[1]", "2", "3"), (1, "~", "$", "1", "")]
+    assert got == [(0, "+", "$.z[2]", "", "4"), (0, "~", "$.z[1]", "2", "3"), (1, "~", "$", "1", "[1]")]
 
 
 def test_profile_and_typed(spark):
@@ -111,6 +116,46 @@ def test_profile_and_typed(spark):
     assert from_pandas({"b": 1.0, "a": [None]}) == b'{"a":[null],"b":1}'
 
 
+def test_huge_exponents(spark):
+    nines, rng = "9" * 18, random.Random(8)
+    tokens = ["1e99999999999", "1e2147483647", "12e-99999999999999999999", f"123e{nines}", f"0.01e-1{'0' * 18}", f"1234e-1{'0' * 18}", "-0e" + "9" * 5000, "1e" + "9" * 5000, "1e10000001", "1e-10000001", "x", "1|2|3|4", "", "1e" + "0" * 30 + "7", "7."]
+    tokens += [f"{rng.choice(['1', '-12', '0.05', '1000', '.00700'])}e{rng.choice(['', '-', '+'])}{rng.choice('98') * rng.randint(15, 40)}" for _ in range(300)]
+    for f in ("plain", "scientific", "auto"):
+        want = []
+        for t in tokens:
+            try:
+                want.append(numbers.canonical(t, f))
+            except JsonError:
+                want.append(None)
+        assert column(texts(spark, *tokens), try_canon_number("doc", f)) == want
+    for t in ("1e2147483647", "x", "1e" + "9" * 5000):
+        with pytest.raises(Exception, match="number"):
+            column(texts(spark, t), canon_number("doc"))
+    assert numbers.canonical("1e99999999999", "scientific") == "1e+99999999999"
+
+
+def test_typed_containers(spark):
+    t = spark.createDataFrame([([2e23, 0.1 + 0.2, None], {"b": 1.5, "a": float("nan")}, {2: "x", 10: None}, [[1.0]], (1, [0.1]), None)], "a array<double>, m map<string,double>, n map<int,string>, d array<array<double>>, s struct<y: int, x: array<float>>, z struct<q: int>")
+    want = '{"a":[2' + "0" * 23 + ',0.30000000000000004,null],"d":[[1]],"m":{"a":null,"b":1.5},"n":{"10":null,"2":"x"},"s":{"x":[0.1],"y":1},"z":null}'
+    assert t.select(canonical_row(t)).first()[0] == want
+    pd = pytest.importorskip("pandas")
+    frame = pd.DataFrame({"x": [0.1 + 0.2, 2 / 3, float("inf")], "y": [[0.1 + 0.2], {"k": 1 / 3}, "s"], "n": [1, 2, 3]})
+    assert from_pandas(frame) == b'{"n":{"0":1,"1":2,"2":3},"x":{"0":0.30000000000000004,"1":0.6666666666666666,"2":null},"y":{"0":[0.30000000000000004],"1":{"k":0.3333333333333333},"2":"s"}}'
+    assert from_pandas(pd.Series([1.0, 2.5], index=[0.1, 0.1 + 0.2])) == b'{"0.1":1,"0.30000000000000004":2.5}'
+
+
+def test_bad_schemas_and_deep_documents(spark):
+    with pytest.raises(JsonError, match="multipleOf"):
+        D.schema_errors("doc", '{"multipleOf":0}')
+    deep = "[" * 100_000 + "]" * 100_000
+    df = texts(spark, deep, "[[1]]")
+    got = column(df, D.schema_errors("doc", '{"type":["array","number"],"items":{"$ref":"#"}}'))
+    assert [[(i.category, i.message) for i in x] for x in got] == [[("depth", "nested too deeply to check")], []]
+    assert column(df, D.is_valid_schema("doc", '{"type":["array","number"],"items":{"$ref":"#"}}')) == [False, True]
+    merged = merge({"a": 1}, parse('{"a":' * 50_000 + "1" + "}" * 50_000))
+    assert merged["a"]["a"]["a"] and merge({"a": {"b": 1, "c": 2}}, {"a": {"b": None}}) == {"a": {"c": 2}}
+
+
 def test_sql_functions(spark):
     names = D.register(spark)
     assert "json_canon" in names

@@ -408,3 +408,11 @@ def test_cddl():
     for bad in ("", "a = ", "a = { x }", "= b", "a = b", "a = { tstr => any }"):
         with pytest.raises(JsonError):
             e(bad, "1")
+
+
+def test_no_pattern_is_exponential():
+    assert not regex.search("(a+)+$", "a" * 5000 + "b") and regex.search("(a|a)*(b|a)*c", "a" * 5000 + "c")
+    assert not regex.search("(x*)*(x*)*y", "x" * 3000) and regex.search("^(a?){30}a{30}$", "a" * 30)
+    assert regex.search("$^", "") and not regex.search("$^", "a") and regex.search("a|$", "bbb") and not regex.search("^b", "ab")
+    with pytest.raises(JsonError):
+        regex.compiled("((a{1000}){1000}){1000}")
