@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,20 +25,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir (or that the session was given for checkpoints).
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests, one machine)
-    a temporary folder is used.
+    Only a local session may do without: it gets a temporary folder. Elsewhere a machine's own folder would be lost with
+    the machine and unknown to the others, so an unset one is an error.
     """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if named:
+        return named
+    given = sc._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="canonframe-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the session's shared folder."""
     spark = df.sparkSession
     small_batches(spark)
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="canonframe-checkpoints-"))
+    folder = shared_folder(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bits of a filter of keys: 16 for each key, between these powers of two (8 KB to 32 MB). Beyond 2**24 keys it lets more
+#: and more pass that is not wanted; whatever passes is joined exactly, so this costs shuffle, never rows.
+LEAST_BITS, MOST_BITS = 16, 28
+
+
+def bitmap(keys: DataFrame, n: int):
+    """A broadcast bit map (int64 words) of the `key` column of n rows, and its number of bits as a power of two."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    at = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    found = words.toArrow()  # at most 2**(MOST_BITS - 6) words
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(out), bits
+
+
+def in_bitmap(words: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    at = keys & ((1 << bits) - 1)
+    return (words[at >> 6] >> (at & 63)) & 1 == 1
+
+
+#: The same as a table of words for joins: at most 2**MOST_JOIN_BITS bits in rows of 64, about 40 MB.
+MOST_JOIN_BITS = 26
+
+
+def flagged(df: DataFrame, key: str, keys: DataFrame, n: int, flag: str) -> DataFrame:
+    """df with `flag`: false where the long column `key` is surely none of the n values of the column of that name in `keys`.
+
+    Rows that are not flagged need not cross a shuffle to find that out. Columns alone; the broadcast table has a fixed bound.
+    """
+    bits = min(MOST_JOIN_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    word, bit = free(df, "__cf_word"), free(df, "__cf_bits")
+    at = lambda c: F.shiftright(c.bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    one = lambda c: F.expr(f"shiftleft(1L, cast(`{c}` & 63 AS int))")
+    words = keys.select(at(F.col(key)).alias(word), one(key).alias(bit)).groupBy(word).agg(F.bit_or(bit).alias(bit))
+    out = df.withColumn(word, at(F.col(key))).join(F.broadcast(words), word, "left")
+    return out.withColumn(flag, F.coalesce(F.col(bit).bitwiseAND(one(key)) != 0, F.lit(False))).drop(word, bit)
+
+
 def body(col: str | Column = "text") -> Column:
     """The text, null read as empty."""
     c = F.col(col) if isinstance(col, str) else col
@@ -57,12 +121,15 @@ def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the session's shared folder (see cut()) and read again."""
-    import uuid
-
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the session's shared folder and read again, and where it lies."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="canonframe-stages-")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what staged() wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from canonframe.llm.common import cut
 
-MAX_ROUNDS = 60
-
 
 def _lowest(sides: DataFrame) -> DataFrame:
     """sides: u, v for each node u and its neighbours; the least of u and its neighbours for each u."""
@@ -21,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     A node's neighbours are never gathered in one row: minima are pre-aggregated, and joins by a busy node can be split.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round lowers some node's neighbour, so it ends; the number of rounds grows with the logarithm of the nodes
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _lowest(both)
         # large star: larger neighbours go to the least
@@ -37,6 +35,4 @@ def components(edges: DataFrame) -> DataFrame:
         now = nxt
         if not open_ and not split:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

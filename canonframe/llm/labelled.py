@@ -14,8 +14,13 @@ MAX_LABELLED = 12_000
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MAX_LABELLED) -> DataFrame:
     """(text, label) of at most `most` labelled documents outside the held-out fold; nothing else of them is kept.
 
-    Rows with a null doc_id, text or label teach nothing. The label list has a proven bound, so it is broadcast.
+    Rows with a null doc_id, text or label teach nothing; equal rows teach once. Both tables are narrowed to `most` rows by
+    a hash of doc_id (and of the text, where an id has several): the bound holds after the join too, whatever repeats. The
+    lists that are broadcast have at most `most` rows. Empty tables give no rows.
     """
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out())
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "y")
+    chosen = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).where(F.col("text").isNotNull())
+    pairs = texts.select("doc_id", "h").join(F.broadcast(chosen), "doc_id").distinct()
+    picked = pairs.orderBy(F.xxhash64("doc_id"), "doc_id", "h", "y").limit(most)
+    return texts.join(F.broadcast(picked), ["doc_id", "h"]).groupBy("doc_id", "h", "y").agg(F.first("text").alias("text")).select("text", "y")

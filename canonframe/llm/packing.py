@@ -13,7 +13,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canonframe.llm import ranks
@@ -166,20 +166,15 @@ def pack(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN, end_i
     """
     spark = docs.sparkSession
     parts = cut(pieces(docs, path or tokenizer_path(), max_len, end_id))
-    n = parts.count()
-    chunk = ranks.chunk_of(F.struct("doc_id", "start"), n)
-    keyed = parts.withColumn("chunk", chunk)
-    counts = cut(keyed.groupBy("length", "chunk").count())
-    hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most max_len rows
+    counts = parts.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most max_len rows
+    hist = {r["length"]: r["n"] for r in counts}
     patterns = pack_histogram({k: v for k, v in hist.items() if k < max_len}, max_len)
     n_packed = sum(c for _, c in patterns)
     ranges = rank_ranges(patterns)
     if hist.get(max_len):
         ranges.append((max_len, 0, hist[max_len], n_packed, 0))
     table_ = spark.createDataFrame(ranges, "length long, lo long, hi long, first_sequence long, offset long")
-    starts = ranks.offsets(counts, "length", "chunk", "count", "first")
-    w = Window.partitionBy("length", "chunk").orderBy("doc_id", "start", "ids_crc32")
-    ranked = keyed.withColumn("r", F.row_number().over(w) - 1).join(starts, ["length", "chunk"]).withColumn("rank", F.col("first") + F.col("r"))
+    ranked = ranks.ranked(parts, "length", sum(hist.values()), "rank")
     # the ranges follow from a histogram of max_len lengths: their number has a bound whatever the corpus
     placed = ranked.join(F.broadcast(table_), (ranked["length"] == table_["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select(

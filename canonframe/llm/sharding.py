@@ -3,8 +3,8 @@
 Every node keeps the segments in which its weight came: one for the shards it was built with and one for each shard
 added later. A key draws an exponential for each segment of a level, divided by the segment's weight, and follows the
 smallest draw. A later shard only adds a segment along its own path; a key either keeps all its draws or falls into the
-new segment, which leads to the new shard alone. So growth moves rows into the changed subtree and nowhere else, and the
-weights still decide the shares.
+new segment, which leads to the new shard alone. So growth moves rows into the new shard and nowhere else, and the weights
+still decide the shares. Another weight for a shard (Tree.reweigh) changes the draws of the subtrees on its path alone.
 
 Everything is a Catalyst expression of the key: no shuffle for the assignment itself.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canonframe.llm import ranks
@@ -36,6 +36,17 @@ class Tree:
             leaves.append((rack // racks, rack, s, float((weights or {}).get(s, 1.0))))
         return Tree((tuple(leaves),))
 
+    def reweigh(self, shard: int, weight: float) -> Tree:
+        """The same tree with another weight for a shard.
+
+        Draws of subtrees that do not hold the shard stay what they are, so a key moves only into (or, for a lower weight,
+        out of) a subtree on the shard's path: never between two regions, two racks of its region or two shards of its rack
+        whose weights have not changed.
+        """
+        if shard not in {x[2] for leaves in self.segments for x in leaves}:
+            raise ValueError(f"the tree has no shard {shard}")
+        return Tree(tuple(tuple((*x[:3], float(weight)) if x[2] == shard else x for x in leaves) for leaves in self.segments))
+
     def grow(self, region: int, rack: int, shard: int, weight: float = 1.0) -> Tree:
         return Tree((*self.segments, ((region, rack, shard, float(weight)),)))
 
@@ -88,29 +99,21 @@ def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None, key: str = "d
     """A row for each row of docs: key, size, text_crc32, shard, slot, grown_shard.
 
     Null texts have size 1 and the checksum of no bytes; a null key is one key of its own; repeated rows share a shard
-    and get different slots; an empty table gives no rows. Other columns of docs are not read.
-    Slots: ranks over (shard, chunk of the key's hash), so no shard is sorted in one task.
+    and get different slots; an empty table gives no rows; a text of any length is read once, for its size and checksum.
+    Other columns of docs are not read. Slots are the ranks of ranks.ranked(): no shard, null key or repeated row is
+    gathered in one task.
     """
-    docs = docs.select(F.col(key), F.col(text))
-    shard = shard_of(f"`{key}`", tree)
-    n = docs.select(key).count()
-    chunk = ranks.chunk_of(F.coalesce(F.col(key).cast("string"), F.lit("")), n, ranks.ROWS_PER_CHUNK * 16)
-    counts = docs.select(shard.alias("shard"), chunk.alias("chunk")).groupBy("shard", "chunk").count()
-    starts = ranks.offsets(counts, "shard", "chunk", "count", "first")
-    raw = body(text).cast("binary")
+    docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    raw = body("t").cast("binary")
     rows = docs.select(
-        F.col(key),
+        "k",
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        shard.alias("shard"),
-        (shard_of(f"`{key}`", grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        chunk.alias("chunk"),
-    )
-    w = Window.partitionBy("shard", "chunk").orderBy(F.col(key), "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(w) - 1)
-    return ranked.join(starts, ["shard", "chunk"]).select(
-        F.col(key), "size", "text_crc32", "shard", (F.col("first") + F.col("rank")).cast("long").alias("slot"), "grown_shard"
+        shard_of("k", tree).alias("shard"),
+        (shard_of("k", grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
+    out = ranks.ranked(rows, "shard", docs.count(), "slot", ranks.ROWS_PER_CHUNK * 16)
+    return out.select(F.col("k").alias(key), "size", "text_crc32", "shard", "slot", "grown_shard")
 
 
 TREE = Tree.build(16)
