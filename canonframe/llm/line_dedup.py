@@ -16,20 +16,18 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canonframe.llm.common import body, cut, row_key, table
+from canonframe.llm.common import bitmap, body, cut, flagged, free, row_key, table
 
 DEPTH = 3
-MIN_TOKENS = 3
+MIN_TOKENS = 1
 MIN_DOCS = 8
 #: Least share of positions that stay constant in a template: of all, and of those after the leading ones.
 CONSTANT = 0.6
-FILTER_BITS = 24
 SALTS = 32
 #: A line that has more than one in so many of all line rows is dealt to SALTS tasks; at most so many lines have.
 BUSY = 4096
@@ -95,14 +93,15 @@ def _leaves(docs: DataFrame, min_tokens: int, min_docs: int) -> DataFrame:
     return _source(docs).select("text").mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf")
 
 
-def _filter(leaves: DataFrame):
-    """A bit map of fixed size that holds the leaves, and perhaps others."""
-    at = F.col("leaf").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = leaves.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(leaf & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.collect():
-        out[r["w"]] = r["bits"]
-    return leaves.sparkSession.sparkContext.broadcast(out)
+def _dealt(rows: DataFrame, keyed: DataFrame, on: list[str], key: str, busy: DataFrame) -> DataFrame:
+    """rows joined with keyed, which has a row for each value of `on`. Values in `busy` (few, see BUSY) are dealt to SALTS
+    tasks by a hash of `key`, each with its own copy of keyed's row."""
+    mark = F.broadcast(busy.select(*on, F.lit(True).alias("__busy")))
+    salts = F.when(F.col("__busy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = keyed.join(mark, on, "left").withColumn("__salt", F.explode(salts)).drop("__busy")
+    salt = F.when(F.col("__busy"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.join(mark, on, "left").withColumn("__salt", salt).drop("__busy")
+    return dealt.join(salted, [*on, "__salt"]).drop("__salt")
 
 
 _ROW = "key long, doc_id long, line int, leaf long, raw long, text_hash long, tokens array<int>"
@@ -111,17 +110,17 @@ _ARROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int
 
 def _entries(docs: DataFrame, leaves: DataFrame, min_tokens: int) -> DataFrame:
     """A row for each line whose leaf may recur; raw is its text's hash, text_hash that of its tokens, these as 32-bit hashes."""
-    filter_ = _filter(leaves)
+    filter_, bits = bitmap(leaves.select(F.col("leaf").alias("key")), leaves.count())
 
     def run(batches):
-        bits = filter_.value
+        words = filter_.value
         for batch in batches:
             rows: list[tuple] = []
             for key, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for i, line, tokens in _split(text, min_tokens):
                     leaf = leaf_of(tokens)
-                    at = leaf & ((1 << FILTER_BITS) - 1)
-                    if (int(bits[at >> 6]) >> (at & 63)) & 1:
+                    at = leaf & ((1 << bits) - 1)
+                    if (int(words[at >> 6]) >> (at & 63)) & 1:
                         rows.append((key, doc, i, leaf, _hash(" ".join(line.split())), _hash(" ".join(tokens)), [_token_hash(t) for t in tokens]))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
@@ -132,18 +131,24 @@ def _entries(docs: DataFrame, leaves: DataFrame, min_tokens: int) -> DataFrame:
     return _source(docs).mapInArrow(run, _ROW).join(leaves, "leaf", "left_semi")
 
 
-def templates(lines: DataFrame, min_docs: int, constant: float = CONSTANT) -> DataFrame:
-    """leaf, text_hash, template for each distinct line (leaf, text_hash, tokens, docs: how many documents have it).
+def templates(lines: DataFrame, entries: DataFrame, min_docs: int, constant: float = CONSTANT) -> DataFrame:
+    """leaf, text_hash, template for each distinct line (leaf, text_hash, tokens).
 
-    The template is null where too few positions are constant to generalise the line.
+    entries: leaf, tokens and key (the document) of each line. A token is constant at its place of a leaf if min_docs
+    documents have it there, however many lines of theirs do. The template is null where too few positions are constant to
+    generalise the line.
     """
     wild = F.lit(_token_hash(WILD))
-    forks = lines.groupBy("leaf").agg(F.count("*").alias("k"), F.max(F.array_contains("tokens", wild)).alias("wild")).where("k > 1 or wild").select("leaf")
-    wide = lines.join(forks, "leaf", "left_semi").where(F.size("tokens") > DEPTH)
-    each = wide.select("leaf", "text_hash", "docs", F.posexplode("tokens").alias("at", "token"))
-    common = each.where(F.col("at") >= DEPTH).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "at", "token", F.lit(1).alias("fixed"))
-    fixed = F.when(F.col("token") == wild, 0).when(F.col("at") < DEPTH, 1).otherwise(F.coalesce("fixed", F.lit(0)))
-    marked = each.join(common, ["leaf", "at", "token"], "left").withColumn("fixed", fixed)
+    forks = lines.groupBy("leaf").agg(F.count("*").alias("k"), F.max(F.array_contains("tokens", wild)).alias("wild"), F.max(F.size("tokens")).alias("size"))
+    forks = cut(forks.where(f"(k > 1 or wild) and size > {DEPTH}").select("leaf"))
+    held = entries.join(forks, "leaf", "left_semi").select("leaf", "key", F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= DEPTH)
+    # one row for each document first, then how many: both counts are pre-aggregated, so a token of all documents is no hot key
+    common = held.groupBy("leaf", "at", "token", "key").agg(F.lit(1).alias("one")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
+    common = common.where(F.col("n") >= min_docs).select("leaf", "at", "token", F.lit(1).alias("fixed"))
+    each = lines.join(forks, "leaf", "left_semi").select("leaf", "text_hash", F.posexplode("tokens").alias("at", "token"))
+    led, rest_ = each.where(F.col("at") < DEPTH).withColumn("fixed", F.lit(1)), each.where(F.col("at") >= DEPTH).join(common, ["leaf", "at", "token"], "left")
+    fixed = F.when(F.col("token") == wild, 0).otherwise(F.coalesce("fixed", F.lit(0)))
+    marked = led.unionByName(rest_).withColumn("fixed", fixed)
     form = F.sort_array(F.collect_list(F.struct("at", F.when(F.col("fixed") == 1, F.col("token")).alias("token"))))
     # all lines of a leaf share the leading tokens, so these say nothing about what follows
     rest = F.avg(F.when(F.col("at") >= DEPTH, F.col("fixed")))
@@ -174,13 +179,9 @@ def _copies(docs: DataFrame, min_tokens: int) -> DataFrame:
     busy = lines.count() // BUSY
     # equal rows are one document: two documents have a line if two keys do
     seen = lines.groupBy("raw").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
-    seen = cut(seen.where("low <> high").select("raw", "first", (F.col("n") > busy).alias("busy")))
-    salts = F.when(F.col("busy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted = seen.select("raw", "first", F.explode(salts).alias("salt"))
-    dealt = lines.join(F.broadcast(seen.where("busy").select("raw", "busy")), "raw", "left")
-    dealt = dealt.withColumn("salt", F.when(F.col("busy"), F.pmod("key", F.lit(SALTS)).cast("int")).otherwise(0))
-    hit = dealt.join(salted, ["raw", "salt"]).where(~((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line"))))
-    return hit.select("key", "line")
+    seen = cut(seen.where("low <> high").select("raw", "first", "n"))
+    hit = _dealt(lines, seen.select("raw", "first"), ["raw"], "key", seen.where(F.col("n") > busy).select("raw"))
+    return hit.where(~((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line")))).select("key", "line")
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, copies: bool = False) -> DataFrame:
@@ -190,46 +191,51 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
         min_tokens = max(min_tokens, DEPTH + 1)
     leaves = cut(_leaves(docs, min_tokens, min_docs))
     entries = cut(_entries(docs, leaves, min_tokens))
-    by_line = entries.select("leaf", "text_hash", "tokens", "key").groupBy("leaf", "text_hash", "key").agg(F.first("tokens").alias("tokens"))
-    lines = cut(by_line.groupBy("leaf", "text_hash").agg(F.first("tokens").alias("tokens"), F.count("*").alias("docs")))
-    named = entries.select("key", "doc_id", "line", "leaf", "raw", "text_hash").join(templates(lines, min_docs), ["leaf", "text_hash"])
+    busy = entries.count() // BUSY
+    lines = cut(entries.groupBy("leaf", "text_hash").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")))
+    made = templates(lines, entries.select("leaf", "key", "tokens"), min_docs)
+    named = _dealt(entries.select("key", "doc_id", "line", "leaf", "raw", "text_hash"), made, ["leaf", "text_hash"], "key", lines.where(F.col("n") > busy).select("leaf", "text_hash"))
     named = cut(named.select("key", "doc_id", "line", F.coalesce("template", F.xxhash64("leaf", "raw")).alias("template")))
-    per_doc = named.groupBy("template", "key").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"))
-    recurring = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
-    # a template may hold a third of all lines: its lines are dealt to SALTS tasks, each with its own copy of the template
-    salted = recurring.select("template", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    named = named.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
-    repeats = named.join(salted, ["template", "salt"]).where(~((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line")))).select("key", "line")
+    per_doc = named.groupBy("template", "key").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.count("*").alias("n"))
+    recurring = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.sum("n").alias("n")).where(F.col("docs") >= min_docs)
+    recurring = cut(recurring.select("template", "first", "n"))
+    repeats = _dealt(named, recurring.select("template", "first"), ["template"], "key", recurring.where(F.col("n") > busy).select("template"))
+    repeats = repeats.where(~((F.col("key") == F.col("first.key")) & (F.col("line") == F.col("first.line")))).select("key", "line")
     hit = hit.unionByName(repeats) if copies else repeats
     return hit.groupBy("key").agg(F.collect_set("line").alias("lines"))
 
 
-def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, copies: bool = False) -> DataFrame:
-    """docs' columns with text replaced by what stays, and __cf_lines, __cf_dropped: numbers of lines before and dropped.
+def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, copies: bool = False, counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs' columns with text replaced by what stays; with `counts`, two more columns of these names: the number of lines
+    before and of those dropped (names that docs has already are replaced, so give others: common.free()).
 
     A null text stays null and has no lines; an empty text has one line that has no template. Lines under min_tokens
-    tokens stay. With copies, a line that two documents have goes from the second on, whatever min_docs is; the first
-    document keeps the first of them. A line that only one document repeats stays. Equal rows are one document and stay alike. Ties of doc_id go by a hash of the row. Empty tables give no
-    rows. A text without dropped lines stays as it is, byte for byte.
+    tokens stay; lines of any length and number are handled alike. With copies, a line that two documents have goes from the
+    second on, whatever min_docs is; the first document keeps the first of them. A line that only one document repeats
+    stays. Equal rows are one document and stay alike. Ties of doc_id go by a hash of the row. Empty tables give no rows. A
+    text without dropped lines stays as it is, byte for byte, and crosses no shuffle unless a filter of hashes takes it for
+    one with dropped lines.
     """
-    drops = dropped_lines(docs, min_docs, min_tokens, copies).withColumnRenamed("lines", "__cf_gone")
-    joined = docs.withColumn("__cf_key", row_key()).join(drops.withColumnRenamed("key", "__cf_key"), "__cf_key", "left")
+    drops = cut(dropped_lines(docs, min_docs, min_tokens, copies))
+    key, gone, may = free(docs, "__cf_key"), free(docs, "__cf_gone"), free(docs, "__cf_may")
+    drops = drops.select(F.col("key").alias(key), F.col("lines").alias(gone))
+    marked = flagged(docs.withColumn(key, row_key()), key, drops, drops.count(), may)
+    rest = marked.where(~F.col(may)).withColumn(gone, F.lit(None).cast("array<int>"))
+    joined = marked.where(may).join(drops, key, "left").select(*rest.columns).unionByName(rest)
     parts = F.split("text", "\n")
-    kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__cf_gone"), s["i"]))
-    text = F.when(F.col("__cf_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    return (
-        joined.withColumn("__cf_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)))
-        .withColumn("__cf_dropped", F.coalesce(F.size("__cf_gone"), F.lit(0)))
-        .withColumn("text", text)
-        .drop("__cf_key", "__cf_gone")
-    )
+    kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col(gone), s["i"]))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    if counts:
+        joined = joined.withColumn(counts[0], F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
+        joined = joined.withColumn(counts[1], F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+    return joined.withColumn("text", text).drop(key, gone, may)
 
 
-def whole(docs: DataFrame) -> DataFrame:
+def whole(docs: DataFrame, counts: tuple[str, str] | None = None) -> DataFrame:
     """deduplicate() as the query and the pipeline use it: recurring templates and all copies of lines go, blank lines stay."""
-    return deduplicate(docs, min_tokens=1, copies=True)
+    return deduplicate(docs, min_tokens=1, copies=True, counts=counts)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = whole(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__cf_lines").cast("long").alias("n_lines"), F.greatest("__cf_dropped", F.lit(0)).cast("long").alias("n_dropped"), "text")
+    out = whole(table(spark, sf_dir, "documents").select("doc_id", "text"), ("n_lines", "n_dropped"))
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
