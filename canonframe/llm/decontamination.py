@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canonframe.llm.common import body, cut, row_key, table
+from canonframe.llm.common import body, cut, flagged, free, row_key, table
 from canonframe.llm.words import PERCENT, SHINGLE, shingle_hashes, shingles, words
 
 #: Shingles of all items up to which their table is broadcast.
 MAX_BROADCAST_SHINGLES = 400_000
+#: Tasks that each shingle of a larger item table is dealt to: a shingle that all documents hold is no hot key.
+SALTS = 16
 
 
 def item_shingles(items: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -51,15 +53,18 @@ def contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent: int
     """
     parts = cut(item_shingles(items, k))
     small = parts.count() <= MAX_BROADCAST_SHINGLES
-    held = F.broadcast if small else lambda x: x
-    base = docs.select(row_key().alias("__cf_key"), "doc_id", F.transform(words(), lambda x: F.xxhash64(x)).alias("wh"))
-    probes = base.select("__cf_key", "doc_id", F.explode(shingle_hashes(F.col("wh"), k)).alias("hash"))
-    found = cut(probes.join(held(sketches(parts, percent)), "hash").select("__cf_key", "item_id").distinct())
-    texts = docs.select(row_key().alias("__cf_key"), "doc_id", body().alias("text")).join(found.select("__cf_key").distinct(), "__cf_key", "left_semi")
+    probe = sketches(parts, percent)
+    base = docs.select(row_key().alias("__cf_key"), F.transform(words(), lambda x: F.xxhash64(x)).alias("wh"))
+    probes = base.select("__cf_key", F.explode(shingle_hashes(F.col("wh"), k)).alias("hash"))
+    found = cut(_met(probes, probe, "hash", small).select("__cf_key", "item_id").distinct())
+    keys = found.select("__cf_key").distinct()
+    # texts that were not hit cross no shuffle, but for the few that a filter of hashes takes for others
+    near = flagged(docs.select(row_key().alias("__cf_key"), "doc_id", body().alias("text")), "__cf_key", keys, found.count(), "__cf_may").where("__cf_may")
+    texts = near.join(keys, "__cf_key", "left_semi")
     texts = texts.select("__cf_key", "doc_id", words().alias("w"))  # once a document, not once a shingle
     # one row for each distinct shingle of a document that was hit, matched with all shingles of the items it may hold
     runs = texts.select("__cf_key", "doc_id", F.explode(F.array_distinct(shingles(F.col("w"), k))).alias("shingle"))
-    hits = runs.join(held(parts), "shingle").groupBy("__cf_key", "doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_found"), F.first("n").alias("n_shingles"))
+    hits = _met(runs, parts, "shingle", small).groupBy("__cf_key", "doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_found"), F.first("n").alias("n_shingles"))
     return (
         hits.join(found, ["__cf_key", "item_id"], "left_semi")
         .where(F.col("n_found") * 100 >= F.col("n_shingles") * percent)
@@ -67,10 +72,26 @@ def contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent: int
     )
 
 
+def _met(rows: DataFrame, held: DataFrame, on: str, small: bool) -> DataFrame:
+    """rows joined with the items' side: broadcast if it is small, else with each of its keys dealt to SALTS tasks."""
+    if small:
+        return rows.join(F.broadcast(held), on)
+    dealt = held.withColumn("__cf_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__cf_salt", F.pmod("__cf_key", F.lit(SALTS)).cast("int")).join(dealt, [on, "__cf_salt"]).drop("__cf_salt")
+
+
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that contain no item as contained() finds them, with all their columns."""
-    bad = contained(docs, items).select("__cf_key").distinct()
-    return docs.withColumn("__cf_key", row_key()).join(bad, "__cf_key", "left_anti").drop("__cf_key")
+    """The rows of docs that contain no item as contained() finds them, with all their columns, whatever their names.
+
+    Null and empty texts stay; repeated rows go or stay together; without items all rows stay; an empty table gives none;
+    texts of any length are searched whole. Rows that surely stay cross no shuffle.
+    """
+    bad = cut(contained(docs, items).select("__cf_key").distinct())
+    key, may = free(docs, "__cf_key"), free(docs, "__cf_may")
+    bad = bad.withColumnRenamed("__cf_key", key)
+    marked = flagged(docs.withColumn(key, row_key()), key, bad, bad.count(), may)
+    again = marked.where(may).join(bad, key, "left_anti").select(*marked.columns)
+    return marked.where(~F.col(may)).unionByName(again).drop(key, may)
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
