@@ -14,13 +14,15 @@ verified on the sets. Pairs inside a component are never made, so a group of cop
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canonframe.llm import shingle_sets as S
-from canonframe.llm.common import body, cut, row_key, table
+from canonframe.llm.common import bitmap, body, cut, flagged, free, in_bitmap, row_key, table
 from canonframe.llm.components import components
 from canonframe.llm.decontamination import SHINGLES_SQL
 
@@ -31,8 +33,10 @@ SKETCH_BLOCK = 4096
 SHORT_LIST = 8
 #: Entries of a long list that one task of round two looks at (beside those outside the list's main component).
 LIST_BLOCK = 8192
-POSTINGS_PER_PART = 1_000_000
-FILTER_BITS = 24
+#: Postings that one task of round one holds, on average.
+POSTINGS_PER_PART = 300_000
+#: A list that may hold more sets (by the count sketch) is dealt to several tasks; their leaders meet in a list of their own.
+HOT_LIST = 150_000
 MAP_BITS = 1024
 SEEN = 200_000
 
@@ -95,14 +99,19 @@ def _sketch(profile: DataFrame) -> np.ndarray:
     return out
 
 
+#: A posting: the whole 64-bit token, its set and the set's size, and the token's place; HOT marks a list of several tasks.
+_POSTING = np.dtype([("token", "<i8"), ("fp", "<i8"), ("n", "<i4"), ("at", "<i4")])
+_HOT = 1 << 30
+
+
 def _postings(docs: DataFrame, order, n_parts: int) -> DataFrame:
     """part, data: packed postings (token, set, size, position) of prefixes; a set once for each worker's stretch."""
-    kind = np.dtype([("token", "<u4"), ("fp", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
     def run(batches):
         seen: set[int] = set()
         rank = order.value
         held: list[np.ndarray] = []
+        size = 0
 
         def out():
             rows = np.concatenate([h[1] for h in held])
@@ -126,13 +135,20 @@ def _postings(docs: DataFrame, order, n_parts: int) -> DataFrame:
                 seen.add(fp)
                 k = prefix(n)
                 count = rank[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                first = tokens[np.lexsort((tokens, count))[:k]]
-                rows = np.empty(k, kind)
-                rows["token"], rows["fp"], rows["n"], rows["at"] = (first & np.uint64(0xFFFFFFFF)).astype(np.uint32), fp, n, np.arange(k)
-                held.append((((first >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int32), rows))
-                if sum(len(h[1]) for h in held[-1:]) and len(held) % 512 == 0 and sum(len(h[1]) for h in held) > 1_000_000:
+                by = np.lexsort((tokens, count))[:k]
+                first, tasks = tokens[by], (count[by].astype(np.int64) - 1) // HOT_LIST  # above 0: a list of several tasks
+                rows = np.empty(k, _POSTING)
+                rows["token"], rows["fp"], rows["n"], rows["at"] = first.view(np.int64), fp, n, np.arange(k) | np.where(tasks > 0, _HOT, 0)
+                part = (first >> np.uint64(32)) % np.uint64(n_parts)
+                hot = np.flatnonzero(tasks > 0)
+                if len(hot):
+                    own = S.mix(np.full(len(hot), fp, np.int64).view(np.uint64)) % (tasks[hot] + 1).astype(np.uint64)
+                    part[hot] = S.mix(first[hot] + own) % np.uint64(n_parts)
+                held.append((part.astype(np.int32), rows))
+                size += k
+                if size > 500_000:
                     yield out()
-                    held = []
+                    held, size = [], 0
         if held:
             yield out()
 
@@ -148,85 +164,105 @@ def possible(na, pa_, nb, pb, percent: int = PERCENT):
     return most >= need(na, nb, percent)
 
 
-def _pairs_of_part(raw: list[bytes], part: int):
-    kind = np.dtype([("token", "<u4"), ("fp", "<i8"), ("n", "<i4"), ("at", "<i4")])
-    rows = np.concatenate([np.frombuffer(r, kind) for r in raw])
+def _leaders(token_of: np.ndarray, fp: np.ndarray, salt: int) -> np.ndarray:
+    """For each row (sorted by its list), the row that leads its list: the one of least hash."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(token_of)) + 1, [len(token_of)]])
+    which = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    return np.lexsort((S.mix(fp.view(np.uint64) ^ np.uint64(salt)), which))[cuts[:-1]][which]
+
+
+SALTS = (0x1234567, 0x7654321)
+
+
+def _pairs_of_part(raw: list[bytes]):
+    rows = np.concatenate([np.frombuffer(r, _POSTING) for r in raw])
     rows = rows[np.lexsort((rows["fp"], rows["at"], rows["n"], rows["token"]))]
-    same = np.concatenate([[False], (rows["token"][1:] == rows["token"][:-1]) & (rows["fp"][1:] == rows["fp"][:-1])])
-    rows = rows[~same]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(rows["token"])) + 1, [len(rows)]])
+    hot = rows["at"] >= _HOT
+    rows["at"] &= _HOT - 1
+    token = rows["token"]
+    same = np.concatenate([[False], (token[1:] == token[:-1]) & (rows["fp"][1:] == rows["fp"][:-1])])
+    rows, token, hot = rows[~same], token[~same], hot[~same]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(rows)]])
     size = np.repeat(np.diff(cuts), np.diff(cuts))
-    rows, size = rows[size > 1], size[size > 1]
+    keep = (size > 1) | hot
+    rows, token, size, hot = rows[keep], token[keep], size[keep], hot[keep]
     found, shared = [], []
-    short = rows[size <= SHORT_LIST]
+    few = (size <= SHORT_LIST) & ~hot
+    short, own = rows[few], token[few]
     for s in range(1, SHORT_LIST):
-        i = np.flatnonzero(short["token"][s:] == short["token"][:-s]) if len(short) > s else []
+        i = np.flatnonzero(own[s:] == own[:-s]) if len(short) > s else []
         if len(i) == 0:
             break
         x, y = short[i], short[i + s]
         ok = possible(x["n"].astype(np.int64), x["at"], y["n"].astype(np.int64), y["at"])
         found.append((x[ok], y[ok]))
         shared.append(np.ones(int(ok.sum()), np.int64))
-    long_ = rows[size > SHORT_LIST]
+    long_, own, hot = rows[~few], token[~few], hot[~few]
+    heads = np.zeros(0, np.int64)
     if len(long_):
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(long_["token"])) + 1, [len(long_)]])
-        which = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        for salt in (0x1234567, 0x7654321):
-            key = S.mix(long_["fp"].view(np.uint64) ^ np.uint64(salt))
-            lead = np.lexsort((key, which))[cuts[:-1]][which]
+        for salt in SALTS:
+            lead = _leaders(own, np.ascontiguousarray(long_["fp"]), salt)
             x, y = long_[lead], long_
             ok = (x["fp"] != y["fp"]) & possible(x["n"].astype(np.int64), x["at"], y["n"].astype(np.int64), y["at"])
             found.append((x[ok], y[ok]))
             shared.append(np.zeros(int(ok.sum()), np.int64))
+            heads = np.concatenate([heads, lead[hot]])
+        heads = np.unique(heads)
     pairs, times = np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
     if found:
         x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         swap = x["fp"] > y["fp"]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
-        pairs, back = np.unique(np.stack([x["fp"], x["n"].astype(np.int64), y["fp"], y["n"].astype(np.int64)], 1), axis=0, return_inverse=True)
-        times = np.bincount(back.ravel(), np.concatenate(shared)).astype(np.int64)
-    k, m = len(pairs), len(long_)
-    token = long_["token"].astype(np.int64) | np.int64(part) << 32
+        by = np.lexsort((y["fp"], x["fp"]))
+        x, y, weight = x[by], y[by], np.concatenate(shared)[by]
+        new = np.concatenate([[True], (x["fp"][1:] != x["fp"][:-1]) | (y["fp"][1:] != y["fp"][:-1])]) if len(x) else np.zeros(0, bool)
+        times = np.add.reduceat(weight, np.flatnonzero(new)) if len(x) else times
+        x, y = x[new], y[new]
+        pairs = np.stack([x["fp"], x["n"].astype(np.int64), y["fp"], y["n"].astype(np.int64)], 1)
+    k, m, h = len(pairs), len(long_), len(heads)
     zero = lambda n: np.zeros(n, np.int64)
     cols = [
-        np.concatenate([zero(k), np.ones(m, np.int64)]), np.concatenate([zero(k), token]), np.concatenate([pairs[:, 0], long_["fp"]]), np.concatenate([pairs[:, 1], long_["n"].astype(np.int64)]),
-        np.concatenate([pairs[:, 2], zero(m)]), np.concatenate([pairs[:, 3], zero(m)]), np.concatenate([times, long_["at"].astype(np.int64)]),
+        np.concatenate([zero(k), np.full(m, 1), np.full(h, 2)]), np.concatenate([zero(k), own, own[heads]]),
+        np.concatenate([pairs[:, 0], long_["fp"], long_["fp"][heads]]), np.concatenate([pairs[:, 1], long_["n"].astype(np.int64), long_["n"][heads].astype(np.int64)]),
+        np.concatenate([pairs[:, 2], zero(m + h)]), np.concatenate([pairs[:, 3], zero(m + h)]),
+        np.concatenate([times, long_["at"].astype(np.int64), long_["at"][heads].astype(np.int64)]),
     ]
     return pa.Table.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, _LISTS)], schema=_LISTS)
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """kind 0: candidate pairs (a below b), with the number of short lists they share as `at`; kind 1: entries of long lists."""
+    """kind 0: candidate pairs (a below b), with the number of short lists they share as `at`; kind 1: entries of long lists;
+    kind 2: leaders of the parts of lists that several tasks hold."""
 
     def run(key, part):
-        return _pairs_of_part(part.column("data").to_pylist(), key[0].as_py())
+        return _pairs_of_part(part.column("data").to_pylist())
 
     return postings.groupBy("part").applyInArrow(run, "kind int, token long, a long, na int, b long, nb int, at int")
 
 
-def _wanted(keys: DataFrame):
-    """A filter of fixed size (2**FILTER_BITS bits) that holds the row keys; it may hold others too."""
-    at = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.collect():
-        out[r["w"]] = r["bits"]
-    return keys.sparkSession.sparkContext.broadcast(out)
+def _heads(lists: DataFrame) -> DataFrame:
+    """Pairs of the leaders of one list's parts with the leader of them all, like kind 0 of _lists()."""
+    heads = lists.where("kind = 2").select("token", F.col("a").alias("fp"), F.col("na").alias("n")).distinct()
+    first = heads.groupBy("token").agg(F.min(F.struct(_rank(F.col("fp")).alias("r"), "fp", "n")).alias("x")).select("token", F.col("x.fp").alias("lead"), F.col("x.n").alias("nl"))
+    pairs = heads.join(first, "token").where("fp <> lead")
+    low = F.col("fp") < F.col("lead")
+    return pairs.select(
+        F.least("fp", "lead").alias("a"), F.when(low, F.col("n")).otherwise(F.col("nl")).alias("na"), F.greatest("fp", "lead").alias("b"), F.when(low, F.col("nl")).otherwise(F.col("n")).alias("nb"), F.lit(0).alias("at")
+    )
 
 
 def _sets(docs: DataFrame, fps: DataFrame, standing: DataFrame, maps: bool = False) -> DataFrame:
     """fp, data: each wanted set once, as its compressed text (smaller than its hashes, which do not compress) or as its
     parity map. standing: fp and the key of the one document that stands for it; other documents are passed over."""
-    filter_ = _wanted(standing.join(fps, "fp", "left_semi"))
+    wanted = standing.join(fps, "fp", "left_semi")
+    filter_, bits = bitmap(wanted, wanted.count())
 
     def run(batches):
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=3)
-        bits = filter_.value
         for batch in batches:
-            at = batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)
-            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1, pa.bool_()))
+            batch = batch.filter(pa.array(in_bitmap(filter_.value, bits, batch.column(0).to_numpy()), pa.bool_()))
             fp, data = [], []
             for text, tokens in zip(batch.column(2), S.sets(batch.column(2))):
                 if len(tokens):
@@ -289,7 +325,7 @@ def _across(entries: DataFrame, best: bool) -> DataFrame:
     """Pairs of one list in different components that no filter rules out; with `best`, for each set and other component
     only the pair whose maps are nearest (any one link joins the components).
 
-    entries: token, block, own, fp, n, at, comp, lead, far (distance to lead), map. kind 0: to verify; kind 1: linked.
+    entries: token, band, block, own, fp, n, at, comp, lead, far (distance to lead), map. kind 0: to verify; kind 1: linked.
     """
 
     def run(key, t):
@@ -330,20 +366,29 @@ def _across(entries: DataFrame, best: bool) -> DataFrame:
         types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
         return pa.Table.from_arrays([pa.array(rows[:, c]).cast(k) for c, k in enumerate(types)], names=["kind", "a", "na", "b", "nb"])
 
-    return entries.groupBy("token", "block").applyInArrow(run, "kind int, a long, na int, b long, nb int")
+    return entries.groupBy("token", "band", "block").applyInArrow(run, "kind int, a long, na int, b long, nb int")
 
 
 def _spread(rest: DataFrame, comps: DataFrame) -> DataFrame:
-    """Entries of lists that still have several components, dealt into blocks; those outside a list's main component go to
-    all blocks of the list."""
+    """Entries of lists that still have several components, dealt into blocks. An entry outside its list's main component
+    goes to all blocks that hold sets of sizes it could be linked with, and to no other.
+
+    Blocks are bands of sizes, each band dealt to as many blocks as it has LIST_BLOCKs of entries. Sizes of linked sets
+    differ by a factor of 4/3 at most, so they lie in one band or in neighbouring ones.
+    """
     entries = rest.join(comps.withColumnRenamed("node", "fp").withColumnRenamed("root", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    entries = entries.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / PERCENT) + 1e-9)).cast("int"))
     by_comp = entries.groupBy("token", "comp").agg(F.count("*").alias("m"))
-    mixed = by_comp.groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("size")).where("comps > 1")
-    entries = entries.join(mixed.select("token", "main", "size"), "token")
-    blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
-    home = F.pmod(F.col("fp"), blocks).cast("int")
-    everywhere = F.when(F.col("comp") == F.col("main"), F.array(home)).otherwise(F.sequence(F.lit(0), blocks - 1))
-    return entries.withColumn("home", home).withColumn("block", F.explode(everywhere)).withColumn("own", (F.col("block") == F.col("home")).cast("int"))
+    mixed = by_comp.groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main")).where("comps > 1")
+    entries = entries.join(mixed.select("token", "main"), "token")
+    bands = entries.groupBy("token", "band").agg(F.ceil(F.count("*") / F.lit(LIST_BLOCK)).cast("int").alias("blocks"))
+    home = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    here = entries.join(bands, ["token", "band"]).withColumn("block", home).drop("blocks").withColumn("own", F.lit(1))
+    outside = entries.where("comp <> main").withColumn("there", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    there = outside.join(bands.withColumnRenamed("band", "there"), ["token", "there"])
+    there = there.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where((F.col("there") != F.col("band")) | (F.col("block") != home))
+    there = there.drop("blocks", "band").withColumnRenamed("there", "band").withColumn("own", F.lit(0))
+    return here.unionByName(there)
 
 
 def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
@@ -357,7 +402,7 @@ def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     # round one: two sets share no more tokens than the short lists they share, the long lists either is in, and what lies
     # behind their prefixes
     long_ = lists.where("kind = 1").groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("k"))
-    pairs = lists.where("kind = 0").groupBy("a", "na", "b", "nb").agg(F.sum("at").alias("shared"))
+    pairs = lists.where("kind = 0").select("a", "na", "b", "nb", "at").unionByName(_heads(lists)).groupBy("a", "na", "b", "nb").agg(F.sum("at").alias("shared"))
     pairs = pairs.join(long_.select(F.col("fp").alias("a"), F.col("k").alias("ka")), "a", "left").join(long_.select(F.col("fp").alias("b"), F.col("k").alias("kb")), "b", "left")
     most = F.col("shared") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) + F.greatest(*[F.floor(F.col(c) * PERCENT / 100 + 0.99) - 1 for c in ("na", "nb")])
     pairs = cut(pairs.where(most * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT).select("a", "na", "b", "nb"))
@@ -379,7 +424,7 @@ def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     done = checked.select("a", "b")
     tree = comps
     for best in (True, False):  # the most promising pairs first; then whatever is left between components
-        spread = _spread(rest, tree).select("token", "block", "own", "fp", "n", "at", "comp", "lead", "far", "map")
+        spread = _spread(rest, tree).select("token", "band", "block", "own", "fp", "n", "at", "comp", "lead", "far", "map")
         across = cut(_across(spread, best).distinct())
         derived = across.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
         pairs = cut(across.where("kind = 0").select("a", "na", "b", "nb").join(done, ["a", "b"], "left_anti"))
@@ -417,13 +462,18 @@ def classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs' rows, with all columns, that stand for their component: those of least doc_id (null last; then by a hash of
     the row). Documents without words all stay; of equal rows of a document that stands for others one stays."""
-    rows = cut(classes(docs).where("stays").groupBy("key").agg(F.count("*").alias("n"), F.max("n_shingles").alias("k")))
-    kept = docs.withColumn("__cf_key", row_key()).join(rows.select(F.col("key").alias("__cf_key")), "__cf_key", "left_semi")
-    twice = rows.where("n > 1 and k > 0").select(F.col("key").alias("__cf_key"))
-    if not twice.isEmpty():
-        again = kept.join(twice, "__cf_key", "left_semi").dropDuplicates(["__cf_key"])
-        kept = kept.join(twice, "__cf_key", "left_anti").unionByName(again)
-    return kept.drop("__cf_key")
+    rows = cut(classes(docs).groupBy("key").agg(F.count("*").alias("n"), F.max("n_shingles").alias("k"), F.max("stays").alias("stays")))
+    key, may = free(docs, "__cf_key"), free(docs, "__cf_may")
+    # rows that go, and those that repeat a row that stays, are asked for; the others cross no shuffle
+    changed = cut(rows.where("not stays or (n > 1 and k > 0)").select(F.col("key").alias(key), "stays"))
+    marked = flagged(docs.withColumn(key, row_key()), key, changed, changed.count(), may)
+    some = marked.where(may)
+    single = some.join(changed, key, "left_anti").select(*marked.columns)
+    kept = marked.where(~F.col(may)).unionByName(single)
+    again = changed.where("stays").select(key)
+    if not again.isEmpty():
+        kept = kept.unionByName(some.join(again, key, "left_semi").dropDuplicates([key]).select(*marked.columns))
+    return kept.drop(key, may)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
