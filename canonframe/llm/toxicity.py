@@ -8,8 +8,10 @@ length-normalised sums turns matches into a score.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +22,6 @@ from pyspark.sql import functions as F
 from canonframe.llm import labelled
 from canonframe.llm.common import body, cut, held_out, table
 
-MAX_TERMS = 2_000
-MAX_EXCEPTIONS = 500
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.5
 
@@ -61,7 +61,7 @@ def fold(text: str) -> str:
 
 
 def terms_of(folded: str) -> set[str]:
-    words = {w for w in set(folded.split()) if len(w) <= 40}
+    words = set(folded.split())
     out = {f" {w} " for w in words if len(w) > 2}
     for n in STEMS:
         out |= {" " + w[:n] for w in words if len(w) > n}
@@ -86,6 +86,20 @@ class Model:
             a.make_automaton()
         return a
 
+    def digest(self) -> str:
+        return hashlib.sha256(repr((sorted(self.weights.items()), self.exceptions)).encode()).hexdigest()
+
+
+_automata: dict[str, object] = {}
+
+
+def automaton_of(model: Model, digest: str):
+    """This worker's automaton for a model; it outlives a task and a record batch."""
+    if digest not in _automata:
+        _automata.clear()
+        _automata[digest] = model.automaton()
+    return _automata[digest]
+
 
 def matches(folded: str, auto) -> list[tuple[int, int, float]]:
     """(begin, end, weight) of the words that entries match; of several entries of a word the heaviest counts;
@@ -100,7 +114,12 @@ def matches(folded: str, auto) -> list[tuple[int, int, float]]:
             spared.append((begin, end))
         elif begin not in best or w > best[begin][1]:
             best[begin] = (end, w)
-    return [(b, e, w) for b, (e, w) in sorted(best.items()) if not any(s <= b and e <= t for s, t in spared)]
+    spared.sort()
+    begins, reach, far = [s for s, _ in spared], [], -1
+    for _, t in spared:  # how far a phrase that begins here or before reaches
+        far = max(far, t)
+        reach.append(far)
+    return [(b, e, w) for b, (e, w) in sorted(best.items()) if not spared or e > (reach[i - 1] if (i := bisect_right(begins, b)) else -1)]
 
 
 def features(folded: str, auto) -> tuple[float, float, float]:
@@ -157,15 +176,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = labelled.MAX_LABELLED) -
     if not n_pos or not n_neg:
         return Model({}, (), (0.0, 0.0, 0.0, -20.0))
     odds = F.log((F.col("pos") + 0.5) / F.lit(n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n_neg + 1.0))
-    counts = cut(_counts(rows).where(F.col("pos") + F.col("neg") >= 3))
+    counts = cut(_counts(rows))
     n, share = F.col("pos") + F.col("neg"), n_pos / (n_pos + n_neg)
-    # the likelihood ratio of an entry's share of toxic documents against the sample's; as many candidates as there are
-    # give one entry above the limit by chance
+    # the likelihood ratio of an entry's share of toxic documents against the sample's; as many candidates as there are (of
+    # those in three rows or more: rarer ones hardly reach it) give one entry above the limit by chance
     part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * p))).otherwise(0.0)
     ratio = 2 * (part("pos", share) + part("neg", 1 - share))
-    limit = 2 * float(np.log(max(counts.count(), 2)))
+    limit = 2 * float(np.log(max(counts.where(n >= 3).count(), 2)))
     chosen = counts.select("term", odds.alias("w"), ratio.alias("ratio")).where((F.col("w") > 0) & (F.col("ratio") >= limit))
-    weights = {r["term"]: r["w"] for r in chosen.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()}
+    weights = {r["term"]: r["w"] for r in chosen.collect()}  # terms of the sample, whose size is bounded
 
     def table_of(model: Model):
         def run(batches):
@@ -182,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = labelled.MAX_LABELLED) -
                         near.add(folded[folded.rfind(" ", 0, b) if b else 0 : end + 1])
                         stop = folded.find(" ", end + 1)
                         near.add(folded[b : stop + 1])
-                    contexts.append([c for c in near if c.count(" ") == 3 and len(c) < 80])
+                    contexts.append([c for c in near if c.count(" ") == 3])
                 yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array([list(f) for f in fs], pa.list_(pa.float64())), pa.array(contexts, pa.list_(pa.string()))], names=["y", "f", "contexts"])
 
         return rows.select("text", "y").mapInArrow(run, "y int, f array<double>, contexts array<string>")
@@ -190,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = labelled.MAX_LABELLED) -
     seen = cut(table_of(Model(weights, (), ())))
     near = seen.select("y", F.explode("contexts").alias("c")).groupBy("c").agg(F.sum((F.col("y") > 0).cast("int")).alias("pos"), F.count("*").alias("n"))
     harmless = near.where((F.col("n") - F.col("pos") >= 5) & (F.col("pos") * 5 <= F.col("n")))
-    exceptions = tuple(r["c"] for r in harmless.orderBy(F.desc("n"), "c").limit(MAX_EXCEPTIONS).collect())
+    exceptions = tuple(sorted(r["c"] for r in harmless.collect()))  # phrases of the sample
     if exceptions:
         seen = table_of(Model(weights, exceptions, ()))
     fitted = seen.select("y", "f").collect()  # at most `most` rows
@@ -199,31 +218,37 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = labelled.MAX_LABELLED) -
     return Model(weights, exceptions, tuple(float(v) for v in logistic(x[order], y[order])))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` with __cf_score: a row for each row. Null and empty texts score as texts without matches."""
-    keep = ["doc_id"] if keep is None else keep
-    shaped = docs.select(*[F.col(f"`{c}`") for c in keep], body("text").alias("__cf_text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("__cf_score", "double")
+def scores(texts: pa.Array, model: Model, digest: str) -> pa.Array:
+    auto, w = automaton_of(model, digest), np.array(model.curve)
+    f = np.array([features(fold(t), auto) for t in texts.to_pylist()]).reshape(-1, 3)
+    return pa.array(1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30))), pa.float64())
 
-    def run(batches):
-        auto = model.automaton()
-        w = np.array(model.curve)
-        for batch in batches:
-            f = np.array([features(fold(t), auto) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, 3)
-            s = 1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s, pa.float64())], names=[*keep, "__cf_score"])
 
-    return shaped.mapInArrow(run, schema)
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, out: str = "__cf_score") -> DataFrame:
+    """docs' columns `keep` with `out`, the score: a row for each row.
+
+    Null and empty texts score as texts without matches; texts of any length are matched whole, in time proportional to
+    their length; repeated rows and ties score alike; an empty table gives no rows; other columns are not read.
+    """
+    digest = model.digest()
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return scores(texts, model, digest)
+
+    return docs.select(*[F.col(f"`{c}`") for c in (["doc_id"] if keep is None else keep)], scored(body("text")).alias(out))
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all columns, that score below the threshold."""
+    """The rows of docs, with all columns, whatever their names, that score below the threshold.
+
+    Null, empty and very long texts, repeated rows, ties and empty tables as in score(); repeated rows stay or go together.
+    """
+    digest = model.digest()
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        auto, w = model.automaton(), np.array(model.curve)
-        f = np.array([features(fold(t), auto) for t in texts.to_pylist()]).reshape(-1, 3)
-        return pa.array(1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30))), pa.float64())
+        return scores(texts, model, digest)
 
     return docs.where(scored(body("text")) < threshold)
 
@@ -231,5 +256,5 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    out = score(docs, model).withColumnRenamed("__cf_score", "score")
+    out = score(docs, model, out="score")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
