@@ -1,9 +1,10 @@
 """Candidate gradient boosting for personal data.
 
 High-recall generators propose overlapping spans; boosted trees score each by binned format and context features;
-thresholds calibrated on held-back documents select what is redacted beside the base spans (strict e-mail, IP, card and
-phone rules), which always stay. The trees learn from the strict rules' verdicts (distant supervision) but see only
-format and context, so they also reach spans that a strict rule misses by its form.
+thresholds calibrated on held-back examples select what is redacted beside the base spans (strict e-mail, IP, card and
+phone rules), which always stay. The trees learn from a fixed number of planted values and look-alikes (pii_examples),
+whose labels come from how they were planted, not from any feature; candidates of the base kinds that fail a strict rule are
+scored like the others.
 
 Everything is Catalyst: matches come from regexp_extract_all, their places from the gaps that split() leaves with the
 same pattern, summed by a window over each document's few matches. Texts are never shuffled for the search.
@@ -12,11 +13,12 @@ same pattern, summed by a window over each document's few matches. Texts are nev
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canonframe.llm import boosting
 from canonframe.llm.common import body, cut, row_key, table
+from canonframe.llm.pii_examples import EXAMPLES, examples
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "number", "address")
@@ -39,7 +41,7 @@ PATTERNS = {
     # generators of candidates
     "secret": ("", _run("[A-Za-z0-9_+/=-]") + r"[A-Za-z0-9_+/=-]{16,}+"),
     "number": ("", r"(?<![0-9A-Za-z.])[+(]?[0-9](?:[\x20().\x2F-]{0,2}[0-9]){5,}+"),
-    "address": ("@", r"[^\s@<>\"(),;]{1,64}\x20?@\x20?[^\s@<>\"(),;]{1,255}+"),
+    "address": ("@", _run(r"[^\s@<>\"(),;]") + r"[^\s@<>\"(),;]++\x20?@\x20?[^\s@<>\"(),;]++"),
 }
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 FEATURES = ["f_kind", "f_length", "f_digits", "f_marks", "f_variety", "f_lead", "f_before", "f_after", "f_cue", "f_hex", "f_groups"]
@@ -130,51 +132,51 @@ def featured(found: DataFrame) -> DataFrame:
     )
 
 
-def _supervised(rows: DataFrame) -> DataFrame:
-    """label: 1 where a strict rule holds, 0 where its form fails, null where neither says anything."""
-    m, kind = F.col("match"), F.col("kind")
-    d = F.length(_digits(m))
-    secret = F.col("f_cue") == 1
-    label = (
-        F.when(F.col("valid"), 1)
-        .when(kind.isin("ip", "card", "phone"), 0)
-        .when((kind == "secret") & secret & (d > 3), 1)
-        .when((kind == "secret") & (d == 0), 0)
-        .when((kind == "number") & (d < 7), 0)
-        .when((kind == "number") & valid(F.lit("card"), m), 1)
-        .when((kind == "address") & m.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+$"), 1)
-        .when((kind == "address") & ~m.rlike(r"\.[A-Za-z]{2,}"), 0)
-    )
-    return rows.withColumn("label", label)
+def _labelled(spark: SparkSession, n: int) -> DataFrame:
+    """Candidates of the planted texts: label 1 if one is a planted value but for a fifth of its length at most."""
+    planted = examples(spark, n)
+    found = featured(matches(planted)).join(planted.select(row_key().alias("__cf_key"), "at", "upto", "planted"), "__cf_key")
+    common = F.least("end", "upto") - F.greatest("start", "at")
+    whole = F.greatest("end", "upto") - F.least("start", "at")
+    return found.withColumn("label", ((F.col("planted") == 1) & (common >= 0.8 * whole)).cast("int"))
 
 
-def select_spans(found: DataFrame, precision: float = PRECISION) -> DataFrame:
-    """All base spans, and the candidates that the boosted trees select: __cf_key, kind, start, end, base.
+_fitted: dict[tuple, tuple] = {}
 
-    The trees are fitted on counts of feature combinations (a bounded table) from four fifths of the documents and
-    calibrated on the rest, kind by kind.
-    """
-    rows = cut(_supervised(featured(found.withColumn("valid", valid(F.col("kind"), F.col("match"))))))
+
+def fitted(spark: SparkSession, precision: float = PRECISION, n: int = EXAMPLES) -> tuple[boosting.Trees, dict[str, float]]:
+    """fit(), once a session's process: the planted texts, and so the model, are the same whatever the documents."""
+    if (precision, n) not in _fitted:
+        _fitted[precision, n] = fit(spark, precision, n)
+    return _fitted[precision, n]
+
+
+def fit(spark: SparkSession, precision: float = PRECISION, n: int = EXAMPLES) -> tuple[boosting.Trees, dict[str, float]]:
+    """Trees fitted on the candidates of four fifths of n planted texts, and each kind's least margin that reaches the
+    precision on those of the rest. The table collected has at most as many rows as these texts have candidates."""
+    rows = _labelled(spark, n)
     back = (F.pmod(F.col("__cf_key"), F.lit(5)) == 0).cast("int")
-    cells = rows.where("label is not null").groupBy(*FEATURES, back.alias("back")).agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()  # bounded by the bins
-    cells = sorted(cells, key=tuple)
+    cells = sorted(rows.groupBy(*FEATURES, back.alias("back")).agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect(), key=tuple)
     x = np.array([[r[f] for f in FEATURES] for r in cells], int).reshape(-1, len(FEATURES))
-    pos, n, held = (np.array([r[c] for r in cells], float) for c in ("pos", "n", "back"))
+    pos, total, held = (np.array([r[c] for r in cells], float) for c in ("pos", "n", "back"))
     fit_on = held == 0
-    trees = boosting.fit(x[fit_on], pos[fit_on], (n - pos)[fit_on])
+    trees = boosting.fit(x[fit_on], pos[fit_on], (total - pos)[fit_on])
     margin, limits = trees.margin(x), {}
     for i, k in enumerate(KINDS, 1):
-        own = x[:, 0] == i
-        chosen = own & (held == 1) if pos[own & (held == 1)].sum() >= 5 else own
-        limits[k] = boosting.threshold(margin[chosen], pos[chosen], (n - pos)[chosen], precision)
+        chosen = (x[:, 0] == i) & (held == 1)
+        limits[k] = boosting.threshold(margin[chosen], pos[chosen], (total - pos)[chosen], precision)
+    return trees, limits
+
+
+def select_spans(found: DataFrame, precision: float = PRECISION) -> DataFrame:
+    """All base spans, and the candidates that the boosted trees select: __cf_key, kind, start, end, base."""
+    trees, limits = fitted(found.sparkSession, precision)
     limit = F.lit(float("inf"))
     for k, v in limits.items():
         limit = F.when(F.col("kind") == k, F.lit(v)).otherwise(limit)
-    scored = rows.withColumn("margin", F.expr(trees.sql(FEATURES)))
-    base = F.col("valid") & F.col("kind").isin(*BASE)
-    # candidates of a base kind that failed its rule are not added under its name
-    added = ~F.col("kind").isin(*BASE) & (F.col("margin") >= limit)
-    return scored.where(base | added).select("__cf_key", "kind", "start", "end", base.alias("base"))
+    base = F.col("kind").isin(*BASE) & valid(F.col("kind"), F.col("match"))
+    scored = featured(found).withColumn("base", base).withColumn("margin", F.expr(trees.sql(FEATURES)))
+    return cut(scored.where(F.col("base") | (F.col("margin") >= limit)).select("__cf_key", "kind", "start", "end", "base"))
 
 
 def _joined(spans: Column) -> Column:
@@ -184,7 +186,8 @@ def _joined(spans: Column) -> Column:
 def redactions(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """A row for each row of docs: doc_id, counts and digest of base spans, and all spans as text.
 
-    Null and empty texts have no spans; repeated rows alike; an empty table gives no rows; other columns are not read.
+    Null and empty texts have no spans; texts of any length are searched whole, in linear time; repeated rows alike; spans
+    that begin at one place go by kind; an empty table gives no rows; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
     chosen = select_spans(matches(docs), precision)
