@@ -10,6 +10,11 @@ repeat. Neighbouring windows mostly share an anchor, about 41 bytes of text each
    place of the anchor in a window, the classes of equal windows; all but the earliest of a class are repeats;
 3. runs of repeats meet their documents' texts, are joined, and taken out.
 
+No task holds all of a common passage: in stage 1 a worker sends two places of an anchor and a count for each stretch of
+text it has read, since two places are all that is asked; in stage 2 an anchor of more than HOT contexts (its group would be
+too large to sort in one task) is dealt by its windows instead: a window's 128-bit hash stands for its bytes, the earliest of
+equal windows is found by a minimum that is pre-aggregated, and all others are repeats.
+
 Equal documents are one class throughout: its first stands for it, and the later ones are repeats as a whole. Equal rows
 (doc_id and text) count as one document.
 """
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canonframe.llm import suffix_sort
-from canonframe.llm.common import body, cut, table
+from canonframe.llm.common import bitmap, body, cut, in_bitmap, table
 from canonframe.llm.shingle_sets import mix
 
 WINDOW = 100
@@ -33,11 +38,15 @@ SPAN = WINDOW - GRAM  # the last place of an anchor in its window
 BLOCK = 1 << 18
 ANCHORS_PER_PART = 1_000_000
 CONTEXTS_PER_PART = 60_000
+#: Bits of the filter of repeated anchors: each part of the hash space has a map, and beyond 2**18 parts several share one.
 MAX_FILTER_BITS = 28
+LEAST_PART_BITS = 10
+#: Contexts of one anchor that one task sorts.
+HOT = 100_000
 SEEN = 200_000
 _U = np.uint64
 _TURN = np.random.default_rng(100_20).integers(1, 1 << 63, 3, dtype=np.uint64) * _U(2) + _U(1)
-_ANCHOR = np.dtype([("token", "<u4"), ("cls", "<i8"), ("first", "<i4")])
+_ANCHOR = np.dtype([("token", "<u4"), ("n", "<u4"), ("place", "<u8")])
 _CONTEXT = np.dtype([("token", "<u4"), ("part", "<u4"), ("cls", "<i8"), ("doc", "<i8"), ("first", "<i4"), ("left", "u1"), ("runs", "u1")])
 
 
@@ -143,11 +152,27 @@ def _split(h: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> _U(32)) % _U(n_parts)).astype(np.uint32), (h & _U(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _repeated(docs: DataFrame, n_parts: int, bits: int) -> DataFrame:
-    """part, n, data: for each part of the hash space a bit map of the anchors that occur twice, and their number."""
+def _two_places(part: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each anchor two different places at most; the first carries how many there are."""
+    by = np.lexsort((rows["place"], rows["token"], part))
+    part, rows = part[by], rows[by]
+    new = np.concatenate([[True], (part[1:] != part[:-1]) | (rows["token"][1:] != rows["token"][:-1])])
+    other = np.concatenate([[False], ~new[1:] & (rows["place"][1:] != rows["place"][:-1])])
+    starts = np.flatnonzero(new)
+    rows["n"] = 0
+    rows["n"][starts] = np.add.reduceat(other.astype(np.int64), starts) + 1
+    sofar = np.cumsum(other)
+    second = other & (sofar - np.repeat(sofar[starts], np.diff(np.append(starts, len(rows)))) == 1)
+    keep = new | second
+    return part[keep], rows[keep]
+
+
+def _repeated(docs: DataFrame, n_parts: int, n_rows: int, bits: int) -> DataFrame:
+    """row, n, data, hot: bit maps of the anchors that occur twice, for each part of the hash space or (row) several; how
+    many places they have; and those that have more than HOT."""
 
     def emit(held):
-        part, data = _packed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        part, data = _packed(*_two_places(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])))
         return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(data, pa.binary())], names=["part", "data"])
 
     def run(batches):
@@ -156,7 +181,8 @@ def _repeated(docs: DataFrame, n_parts: int, bits: int) -> DataFrame:
             for _, h, cls, _doc, _at, lo, _hi, shift in _found(batch, first):
                 part, token = _split(h, n_parts)
                 rows = np.empty(len(h), _ANCHOR)
-                rows["token"], rows["cls"], rows["first"] = token, cls, lo + shift
+                rows["token"], rows["n"] = token, 1
+                rows["place"] = mix(cls.view(np.uint64) * _TURN[0] + (lo + shift).astype(np.uint64))
                 held.append((part, rows))
                 size += len(h)
                 if size > 500_000:
@@ -165,24 +191,102 @@ def _repeated(docs: DataFrame, n_parts: int, bits: int) -> DataFrame:
         if held:
             yield emit(held)
 
+    types = [("row", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("hot", pa.list_(pa.int64()))]
+
     def meet(key, t):
         rows = np.concatenate([np.frombuffer(x, _ANCHOR) for x in t.column("data").to_pylist()])
-        rows = rows[np.lexsort((rows["first"], rows["cls"], rows["token"]))]
-        same = (rows["token"][1:] == rows["token"][:-1]) & ((rows["cls"][1:] != rows["cls"][:-1]) | (rows["first"][1:] != rows["first"][:-1]))
-        twice = rows["token"][1:][same]
-        held = np.zeros(1 << bits, bool)
+        rows = rows[np.lexsort((rows["place"], rows["token"]))]
+        new = np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])
+        starts = np.flatnonzero(new)
+        places = np.add.reduceat(rows["n"].astype(np.int64), starts)
+        low = np.concatenate([starts[1:], [len(rows)]]) - 1  # places are sorted: several if the last differs from the first
+        several = rows["place"][starts] != rows["place"][low]
+        twice, held = rows["token"][starts[several]], np.zeros(1 << bits, bool)
         held[twice & np.uint32((1 << bits) - 1)] = True
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([int(same.sum())], pa.int64()), "data": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+        part = key[0].as_py()
+        hot = [_signed(part, x) for x in rows["token"][starts[several & (places > HOT)]].tolist()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, (_, k) in zip(([part % n_rows], [int(places[several].sum())], [np.packbits(held, bitorder="little").tobytes()], [hot]), types)], names=[n for n, _ in types])
+
+    def joined(key, t):
+        data = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("data").to_pylist()])
+        hot = [x for v in t.column("hot").to_pylist() for x in v]
+        return pa.Table.from_arrays([pa.array(c, k) for c, (_, k) in zip(([key[0].as_py()], [sum(t.column("n").to_pylist())], [data.tobytes()], [hot]), types)], names=[n for n, _ in types])
+
+    schema = "row int, n long, data binary, hot array<long>"
+    out = _source(docs).mapInArrow(run, "part int, data binary").groupBy("part").applyInArrow(meet, schema)
+    return out.groupBy("row").applyInArrow(joined, schema) if n_parts > n_rows else out
+
+
+def _signed(part: int, token: int) -> int:
+    """One number for an anchor, to ask the bit map of hot ones for."""
+    return int(mix(np.array([part << 32 | token], np.uint64)).view(np.int64)[0])
+
+
+def _is_hot(part: np.ndarray, token: np.ndarray, hot) -> np.ndarray:
+    if hot is None:
+        return np.zeros(len(part), bool)
+    words, bits = hot
+    return in_bitmap(words.value, bits, mix(part.astype(np.uint64) << _U(32) | token.astype(np.uint64)).view(np.int64))
+
+
+def _hits(batch, first: _First, n_parts: int, bits: int, maps: np.ndarray):
+    """What _found() gives, for anchors that occur twice only, with part and token."""
+    for raw, h, cls, doc, at, lo, hi, shift in _found(batch, first):
+        part, token = _split(h, n_parts)
+        bit = (token & np.uint32((1 << bits) - 1)).astype(np.int64)
+        hit = np.flatnonzero((maps[part.astype(np.int64) % len(maps), bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+        if len(hit):
+            yield raw, part[hit], token[hit], *(x[hit] for x in (h, cls, doc, at, lo, hi, shift))
 
-    return _source(docs).mapInArrow(run, "part int, data binary").groupBy("part").applyInArrow(meet, "part int, n long, data binary")
 
+def window_hashes(raw: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the windows that begin at these places."""
+    eights = np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), 0, (1,))
+    out = np.full(len(at), seed, np.uint64)
+    for k in [*range(0, WINDOW - 7, 8), WINDOW - 8]:
+        out = mix(out * _TURN[1] + eights[at + k])
+    return out
 
-def _contexts(docs: DataFrame, n_parts: int, bits: int, filter_, n_groups: int) -> DataFrame:
-    """part, rows, data: repeated anchors with the bytes of their windows."""
+
+def _hot_runs(docs: DataFrame, n_parts: int, bits: int, filter_, hot) -> DataFrame:
+    """cls, runs: repeats among the windows of hot anchors. The joins and groups are by window or by (class, place): no
+    group is larger than a document."""
+
+    def run(batches):
+        first = _First()
+        for batch in batches:
+            for raw, part, token, _h, cls, doc, _at, lo, hi, shift in _hits(batch, first, n_parts, bits, filter_.value):
+                own = np.flatnonzero(_is_hot(part, token, hot))
+                if not len(own):
+                    continue
+                n = (hi - lo + 1)[own]
+                at = np.repeat(lo[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                cols = [window_hashes(raw, at, 1).view(np.int64), window_hashes(raw, at, 2).view(np.int64), np.repeat(cls[own], n), np.repeat(doc[own], n), at + np.repeat(shift[own], n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["high", "low", "cls", "doc", "at"])
+
+    windows = _source(docs).mapInArrow(run, "high long, low long, cls long, doc long, at long")
+    # a class stands for equal texts: its least doc counts, whichever worker saw it
+    windows = cut(windows.groupBy("high", "low", "cls", "at").agg(F.min("doc").alias("doc")))
+    earliest = windows.groupBy("high", "low").agg(F.min(F.struct("doc", "cls", "at")).alias("x")).select("x.cls", "x.at")
+    again = windows.select("cls", "at").join(earliest, ["cls", "at"], "left_anti").groupBy("cls").agg(F.collect_list("at").alias("at"))
+
+    def packed(batches):
+        for batch in batches:
+            runs = []
+            for at in batch.column(1).to_pylist():
+                at = np.unique(np.array(at, np.int64))
+                cuts = np.flatnonzero(np.diff(at) > 1)
+                runs.append(np.stack([at[np.append(0, cuts + 1)], at[np.append(cuts, len(at) - 1)]], 1).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], names=["cls", "runs"])
+
+    return again.mapInArrow(packed, "cls long, runs binary")
+
+
+def _contexts(docs: DataFrame, n_parts: int, bits: int, filter_, n_groups: int, hot=None) -> DataFrame:
+    """part, rows, data: repeated anchors, but for hot ones, with the bytes of their windows."""
 
     def run(batches):
         first = _First()
-        maps = filter_.value
         held: list[tuple] = []
         size = 0
 
@@ -202,18 +306,17 @@ def _contexts(docs: DataFrame, n_parts: int, bits: int, filter_, n_groups: int)
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["part", "rows", "data"])
 
         for batch in batches:
-            for raw, h, cls, doc, at, lo, hi, shift in _found(batch, first):
-                part, token = _split(h, n_parts)
-                bit = (token & np.uint32((1 << bits) - 1)).astype(np.int64)
-                hit = np.flatnonzero((maps[part.astype(np.int64), bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                if not len(hit):
+            for raw, part, token, h, cls, doc, at, lo, hi, shift in _hits(batch, first, n_parts, bits, filter_.value):
+                own = ~_is_hot(part, token, hot)
+                if not own.any():
                     continue
-                rows = np.empty(len(hit), _CONTEXT)
-                rows["token"], rows["part"], rows["cls"], rows["doc"] = token[hit], part[hit], cls[hit], doc[hit]
-                rows["first"], rows["left"], rows["runs"] = (lo + shift)[hit], (at - lo)[hit], (hi - lo)[hit]
-                length = (hi - lo)[hit] + WINDOW
-                idx = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-                group = (mix(h[hit]) % _U(n_groups)).astype(np.int32)
+                part, token, h, cls, doc, at, lo, hi, shift = (x[own] for x in (part, token, h, cls, doc, at, lo, hi, shift))
+                rows = np.empty(len(h), _CONTEXT)
+                rows["token"], rows["part"], rows["cls"], rows["doc"] = token, part, cls, doc
+                rows["first"], rows["left"], rows["runs"] = lo + shift, at - lo, hi - lo
+                length = hi - lo + WINDOW
+                idx = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+                group = (mix(h) % _U(n_groups)).astype(np.int32)
                 held.append((group, rows, raw[idx]))
                 size += int(length.sum())
                 if size > 8_000_000:
@@ -303,14 +406,20 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(body("text")))).first()[0] or 0
     n_parts = max(8, int(total / 40 / ANCHORS_PER_PART) + 1)
-    bits = max(10, min(22, MAX_FILTER_BITS - (n_parts - 1).bit_length()))
-    found = _repeated(docs, n_parts, bits).collect()  # at most 2**MAX_FILTER_BITS bits
-    maps = np.zeros((n_parts, 1 << (bits - 3)), np.uint8)
-    for r in found:
-        maps[r["part"]] = np.frombuffer(r["data"], np.uint8)
-    n_groups = max(8, 2 * sum(r["n"] for r in found) // CONTEXTS_PER_PART + 1)
+    bits = max(LEAST_PART_BITS, min(22, MAX_FILTER_BITS - (n_parts - 1).bit_length()))
+    n_rows = min(n_parts, 1 << (MAX_FILTER_BITS - bits))
+    found = cut(_repeated(docs, n_parts, n_rows, bits))
+    maps, n_twice = np.zeros((n_rows, 1 << (bits - 3)), np.uint8), 0
+    for r in found.select("row", "n", "data").toLocalIterator():  # 2**MAX_FILTER_BITS bits at most, whatever the corpus
+        maps[r["row"]], n_twice = np.frombuffer(r["data"], np.uint8), n_twice + r["n"]
+    n_groups = max(8, n_twice // CONTEXTS_PER_PART + 1)
     filter_ = spark.sparkContext.broadcast(maps)
-    return _repeat_runs(_contexts(docs, n_parts, bits, filter_, n_groups))
+    keys = found.select(F.explode("hot").alias("key"))
+    n_hot = keys.count()
+    if not n_hot:
+        return _repeat_runs(_contexts(docs, n_parts, bits, filter_, n_groups))
+    hot = bitmap(keys, n_hot)  # what it takes for hot by chance goes the other way, to the same result
+    return _repeat_runs(_contexts(docs, n_parts, bits, filter_, n_groups, hot)).unionByName(_hot_runs(docs, n_parts, bits, filter_, hot))
 
 
 def _kept(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -353,7 +462,7 @@ def _kept(docs: DataFrame, runs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay) for each row of docs.
 
-    Null texts are empty; texts under 100 bytes keep all; of equal texts all but the one with the least doc_id (null
+    Null texts are empty; texts under 100 bytes keep all; texts of any length are read in pieces of BLOCK bytes; of equal texts all but the one with the least doc_id (null
     counts as least) lose all; equal rows stay or go together; empty tables give no rows; other columns are not read.
     """
     src = _source(docs).select("cls", "doc", F.octet_length("text").cast("long").alias("n_bytes"))

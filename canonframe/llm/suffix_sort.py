@@ -1,6 +1,6 @@
 """Deep-shallow sorting of byte strings inside groups, with longest common prefixes.
 
-Shallow: multikey quicksort whose characters are eight bytes wide, run for all buckets at once, to SHALLOW bytes. Deep:
+Shallow: multikey quicksort (three-way partitions) whose characters are eight bytes wide, all buckets at once, to SHALLOW bytes. Deep:
 strings that still share a bucket go into a blind trie (a Patricia trie that is descended without looking at skipped
 bytes; one comparison at the leaf then gives the place to branch), read off in order.
 """
@@ -73,27 +73,43 @@ def _words(strings: list[bytes]) -> np.ndarray:
 
 
 def _multikey(words: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by bucket and words, and the bucket numbers after it: equal words share one."""
+    """An order by bucket and words, and the bucket numbers after it: equal words share one.
+
+    Multikey quicksort: a bucket is split by its pivot's character (a word of eight bytes) into the strings below, equal and
+    above; the equal ones go on with the next character, the others with the same. All buckets are split in one pass.
+    """
+    n, depth = len(bucket), words.shape[1]
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    for level in range(words.shape[1]):
-        alone = np.ones(len(b), bool)
-        same = b[1:] == b[:-1]
-        alone[1:] &= ~same
-        alone[:-1] &= ~same
-        live = np.flatnonzero(~alone)
+    first = np.concatenate([[True], b[1:] != b[:-1]]) if n else np.zeros(0, bool)  # where buckets begin
+    level = np.zeros(n, np.int64)  # the character that a string's bucket is at
+    while True:
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, n))
+        live = np.flatnonzero((sizes > 1) & (level[starts] < depth))
         if not len(live):
             break
-        w = words[order[live], level]
-        turn = np.lexsort((w, b[live]))
-        order[live] = order[live][turn]
-        w = w[turn]
-        new = np.ones(len(b), bool)
-        new[1:] = b[1:] != b[:-1]
-        inner = np.concatenate([[False], (b[live][1:] == b[live][:-1]) & (w[1:] != w[:-1])])
-        new[live] |= inner
-        b = np.cumsum(new)
-    return order, b
+        size = sizes[live]
+        home = np.repeat(np.arange(len(live)), size)
+        base = np.concatenate([[0], np.cumsum(size)[:-1]])
+        at = starts[live][home] + np.arange(len(home)) - base[home]  # places of all strings of live buckets
+        own = order[at]
+        char = words[own, level[at]]
+        three = np.sort(np.stack([char[base], char[base + size // 2], char[base + size - 1]]), axis=0)
+        side = np.where(char == three[1][home], 1, np.where(char < three[1][home], 0, 2))
+        counts = np.bincount(home * 3 + side, minlength=3 * len(live)).reshape(-1, 3)
+        # each side's strings keep their order: a string's place is its side's first place and how many of it came before
+        to = np.empty(len(home), np.int64)
+        for k in range(3):
+            mine = side == k
+            before = np.cumsum(mine) - 1
+            low = np.concatenate([[0], np.cumsum(counts[:, k])[:-1]])
+            to[mine] = (starts[live] + counts[:, :k].sum(1))[home[mine]] + before[mine] - low[home[mine]]
+        order[to] = own
+        level[to] = level[at] + (side == 1)
+        bounds = (starts[live][:, None] + np.concatenate([np.zeros((len(live), 1), np.int64), np.cumsum(counts, 1)[:, :2]], 1))[counts > 0]
+        first[bounds] = True
+    return order, np.cumsum(first)
 
 
 def sort(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
