@@ -2,15 +2,19 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import time
+import types
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canonframe.llm import boosting, decontamination, jaccard_join, line_dedup, mpeg_audio, packing, pii, quality, ranks, sharding, shingle_sets, substring_dedup, suffix_sort, toxicity, words
+from canonframe.llm import boosting, common, decontamination, jaccard_join, line_dedup, mpeg_audio, packing, pii, quality, ranks, sharding, shingle_sets, substring_dedup, suffix_sort, toxicity, words
+from canonframe.llm import labelled as labelled_
 from canonframe.llm.components import components
 from tests.llm import helpers as H
 
@@ -34,42 +38,77 @@ def raw(t):
     return (t or "").encode()
 
 
+# --- shared helpers
+def test_shared_folder():
+    def session(master, named="", given=None):
+        box = types.SimpleNamespace(isDefined=lambda: given is not None, get=lambda: given)
+        sc = types.SimpleNamespace(master=master, _jsc=types.SimpleNamespace(sc=lambda: types.SimpleNamespace(getCheckpointDir=lambda: box)))
+        return types.SimpleNamespace(sparkContext=sc, conf=types.SimpleNamespace(get=lambda *_: named))
+
+    assert common.shared_folder(session("spark://x", "s3://b/c")) == "s3://b/c" and common.shared_folder(session("spark://x", given="hdfs://d")) == "hdfs://d"
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_folder(session("spark://x"))
+
+
+def test_filters_let_all_wanted_pass(spark):
+    df = spark.range(20_000).select(F.xxhash64("id").alias("key"), F.col("id").alias("__cf_word"))
+    keys = df.where("__cf_word % 40 = 0").select("key")
+    out = common.flagged(df, "key", keys, 500, "may")
+    assert out.columns == [*df.columns, "may"] and out.count() == 20_000
+    assert out.where("may").join(keys, "key").count() == 500 and out.where("may").count() < 2_500
+    words_, bits = common.bitmap(keys, 500)
+    held = common.in_bitmap(words_.value, bits, np.array([r.key for r in df.collect()]))
+    assert 500 <= held.sum() < 2_500 and common.flagged(df, "key", keys.limit(0), 0, "may").where("may").count() == 0
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i % 40}") for i in range(400)] + [(None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)] + [(None, 1), (2, None)], "doc_id long, quality int")
+    held = {i for i in range(5) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert labelled_.sample(docs, labels, "quality", 3).count() <= 3 and labelled_.sample(docs, labels, "quality", 12).count() <= 12
+    assert labelled_.sample(docs, labels, "quality").count() == len({(i % 5, i % 40) for i in range(400)} - {(i % 5, i % 40) for i in range(400) if i % 5 in held})
+    assert labelled_.sample(docs.limit(0), labels, "quality").count() == labelled_.sample(docs, labels.limit(0), "quality").count() == 0
+
+
 # --- 1 line dedup
-def brute_lines(rows, min_docs, min_tokens=3):
+def brute_lines(rows, min_docs, min_tokens=1):
+    """From the description alone: tokens with digits are wild, a leaf is length and three leading tokens, a token is constant
+    if min_docs documents have it at its place of the leaf."""
     unique = list(dict.fromkeys(rows))
-    leaf_docs, lines = collections.defaultdict(set), []
+    lines, raw_of = [], {}
     for d in unique:
-        for n, tokens in line_dedup._lines(d[1] or "", min_tokens):
-            leaf = (len(tokens), tuple(tokens[:3]))
-            leaf_docs[leaf].add(d)
-            lines.append((d, n, leaf, tuple(tokens)))
-    lines = [x for x in lines if len(leaf_docs[x[2]]) >= min_docs]
-    by_line = collections.defaultdict(set)
+        for n, line in enumerate((d[1] or "").split("\n")):
+            words_ = line.split()
+            if len(words_) >= max(1, min_tokens):
+                t = tuple("<*>" if any(c in "0123456789" for c in w) else w for w in words_)
+                lines.append((d, n, (len(t), t[:3]), t))
+                raw_of[d, n] = tuple(words_)
+    leaf_docs, holders_at, kinds = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
     for d, _, leaf, t in lines:
-        by_line[leaf, t].add(d)
-    forks, counts = collections.Counter(leaf for leaf, _ in by_line), collections.Counter()
-    for (leaf, t), ds in by_line.items():
+        leaf_docs[leaf].add(d)
+        kinds[leaf].add(t)
         for i, token in enumerate(t):
-            counts[leaf, i, token] += len(ds)
+            holders_at[leaf, i, token].add(d)
 
-    def template(leaf, t):
-        fixed = [i < 3 or counts[leaf, i, token] >= min_docs for i, token in enumerate(t)]
-        if forks[leaf] < 2 or len(t) <= 3 or sum(fixed) / len(t) < line_dedup.CONSTANT:
-            return leaf, t
-        return leaf, tuple(token if f else None for token, f in zip(t, fixed))
+    def template(d, n, leaf, t):
+        if len(t) > 3 and (len(kinds[leaf]) > 1 or "<*>" in t):
+            fixed = [token != "<*>" and (i < 3 or len(holders_at[leaf, i, token]) >= min_docs) for i, token in enumerate(t)]
+            if sum(fixed) / len(t) >= line_dedup.CONSTANT and sum(fixed[3:]) / len(fixed[3:]) >= line_dedup.CONSTANT:
+                return leaf, tuple(token if f else None for token, f in zip(t, fixed))
+        return leaf, raw_of[d, n]
 
     holders, places = collections.defaultdict(set), collections.defaultdict(list)
     for d, n, leaf, t in lines:
-        holders[template(leaf, t)].add(d)
-        places[template(leaf, t)].append((d, n))
+        if len(leaf_docs[leaf]) >= min_docs:
+            k = template(d, n, leaf, t)
+            holders[k].add(d)
+            places[k].append((d, n))
     gone = collections.defaultdict(set)
     for k, at in places.items():
         if len(holders[k]) >= min_docs:
             ids = [(d[0] is not None, d[0] or 0) for d, _ in at]
-            least = min(ids)
-            kept = [x for x, i in zip(at, ids) if i == least]
-            if len({d for d, _ in kept}) > 1:
-                return None  # a tie that the row's hash decides
+            kept = [x for x, i in zip(at, ids) if i == min(ids)]
+            assert len({d for d, _ in kept}) == 1, "a tie that the row's hash decides"
             first = min(kept, key=lambda x: x[1])
             for d, n in at:
                 if (d, n) != first:
@@ -77,13 +116,29 @@ def brute_lines(rows, min_docs, min_tokens=3):
     return gone
 
 
-def test_line_dedup(spark, docs, rows, empty):
-    out = collections.Counter((r.doc_id, r.n_dropped, r.text) for r in line_dedup.deduplicate(docs, min_docs=4).select("doc_id", F.col("__cf_dropped").alias("n_dropped"), "text").collect())
-    gone = brute_lines(rows, 4)
-    assert gone
-    want = collections.Counter((d[0], len(gone[d]), d[1] if d[1] is None else "\n".join(x for n, x in enumerate(d[1].split("\n")) if n not in gone[d])) for d in rows)
-    assert out == want
-    assert line_dedup.deduplicate(empty).count() == 0
+def without(rows, gone):
+    return collections.Counter((d[0], len(gone[d]), d[1] if d[1] is None else "\n".join(x for n, x in enumerate(d[1].split("\n")) if n not in gone[d])) for d in rows)
+
+
+def logs(rng, n):
+    """Lines with variable fields, some of which one document repeats with one token."""
+    names = "ann bob cyd dan eve fay gus hal ivo joy".split()
+    made = [f"the user {rng.choice(names)} logged in from place {rng.randint(0, 99)} as before" for _ in range(n)]
+    return [(9000 + i, "\n".join([t, f"job {i} ended", "Read more", *[f"this is the {w} that only document{i} ever mentions twice" for w in rng.sample(names, 4)]])) for i, t in enumerate(made)]
+
+
+@pytest.mark.parametrize("busy", [4096, 2])
+def test_line_dedup(spark, rows, empty, monkeypatch, busy):
+    monkeypatch.setattr(line_dedup, "BUSY", busy)
+    every = [r for r in rows if r[0] is not None] + logs(random.Random(3), 20) + [(None, "no id at all here now")]
+    docs = H.frame(spark, every).withColumn("__cf_key", F.lit(1)).withColumn("__cf_gone", F.lit("g")).withColumn("__cf_may", F.lit("m")).repartition(3)
+    out = line_dedup.deduplicate(docs, min_docs=4, counts=("n_lines", "n_dropped"))
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"] and out.select("__cf_key", "__cf_gone", "__cf_may").distinct().collect() == [(1, "g", "m")]
+    gone = brute_lines(every, 4)
+    assert sum(map(len, gone.values())) > 30
+    assert collections.Counter((r.doc_id, r.n_dropped, r.text) for r in out.collect()) == without(every, gone)
+    if busy > 2:
+        assert line_dedup.deduplicate(empty).count() == 0 and line_dedup.whole(empty, ("a", "b")).columns == [*empty.columns, "a", "b"]
 
 
 def test_line_templates_generalise(spark):
@@ -130,6 +185,12 @@ def test_short_lines_with_a_common_beginning_stay(spark):
         assert {r.doc_id: r.text for r in out.collect()} == dict(rows)
 
 
+def test_one_document_makes_no_template(spark):
+    names = "ann bob cyd dan eve fay gus hal".split()
+    rows = [(1, "\n".join(f"one two three {w} is what this says" for w in names)), (2, "one two three zoe is what that said")]
+    assert {r.doc_id: r.text for r in line_dedup.deduplicate(H.frame(spark, rows), min_docs=2).collect()} == dict(rows)
+
+
 def brute_copies(rows, min_tokens):
     seen = collections.defaultdict(list)
     for i, t in dict.fromkeys(rows):
@@ -168,14 +229,64 @@ def accuracy(out, want, spark):
 def test_toxicity(spark, empty):
     docs, labels = labelled(spark)
     model = toxicity.fit(docs, labels)
-    out = toxicity.score(docs, model).select("doc_id", F.col("__cf_score").alias("score"), (F.col("__cf_score") >= 0.5).cast("int").alias("predicted")).collect()
+    out = toxicity.score(docs, model, out="score").select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")).collect()
     assert len(out) == 303 and all(0 <= r.score <= 1 for r in out)
     assert accuracy(out, {i: int(i % 5 == 0) for i in range(300)}, spark) > 0.9
     kept = toxicity.reject(docs, model)
     assert kept.columns == docs.columns and {None, 300, 301} <= {r.doc_id for r in kept.collect()}
     nothing = toxicity.fit(docs, labels.limit(0))
-    assert {r.predicted for r in toxicity.score(docs, nothing).select((F.col("__cf_score") >= 0.5).cast("int").alias("predicted")).collect()} == {0}
-    assert toxicity.score(empty, model).count() == 0
+    assert toxicity.score(docs, nothing, out="s").where("s >= 0.5").count() == 0
+    assert toxicity.score(empty, model).count() == 0 and toxicity.reject(empty, model).count() == 0
+    twice = docs.unionByName(docs).withColumn("__cf_score", F.lit(9))
+    again = toxicity.score(twice, model, ["doc_id", "__cf_score"], "s")
+    assert again.columns == ["doc_id", "__cf_score", "s"] and again.count() == 606 and again.distinct().count() <= 303
+    assert toxicity.reject(twice, model).count() == 2 * kept.count() and toxicity.reject(twice, model).columns == twice.columns
+
+
+def brute_score(text, model):
+    """No automaton: every entry is looked for at every place of the folded text."""
+    folded = toxicity.fold(text)
+    at = lambda t: [i for i in range(len(folded)) if folded.startswith(t, i)]
+    spared = [(i, i + len(t)) for t in model.exceptions for i in at(t)]
+    best = {}
+    for t, w in model.weights.items():
+        for i in at(t):
+            if i not in best or w > best[i][0]:
+                best[i] = (w, i + len(t))
+    found = {folded[i:e]: w for i, (w, e) in best.items() if not any(a <= i and e <= b for a, b in spared)}
+    x = [max(found.values()), np.log1p(sum(found.values())), sum(found.values()) / np.sqrt(len(folded) / 6 + 1)] if found else [0, 0, 0]
+    return 1 / (1 + np.exp(-np.clip(np.dot(x, model.curve[:-1]) + model.curve[-1], -30, 30)))
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    docs, labels = labelled(spark, 120)
+    model = toxicity.fit(docs, labels)
+    model.exceptions = (*model.exceptions, " what a ", " idiot moron ", " a" + "b" * 90 + " moron ")
+    texts = [t for t in (r.text for r in docs.collect()) if t] + ["what a moron", "a" + "b" * 90 + " moron", "moron " * 300, "idiot moron idiot", "x" * 50 + " moronic"]
+    got = toxicity.scores(toxicity.pa.array(texts), model, "test").to_pylist()
+    assert np.allclose(got, [brute_score(t, model) for t in texts]) and len({round(x, 3) for x in got}) > 2
+
+
+def test_toxicity_of_long_words_and_texts():
+    word = "z" * 60
+    assert f" {word} " in toxicity.terms_of(toxicity.fold(word))
+    m = toxicity.Model({" bad ": 2.0}, (" not bad ",), ())
+    long_ = toxicity.fold("not bad and bad " * 40_000)
+    began = time.time()
+    assert len(toxicity.matches(long_, m.automaton())) == 40_000 and time.time() - began < 20
+
+
+@pytest.mark.parametrize("name, module, label, least", [("op2_quality", quality, "quality", 0.95), ("op4_toxicity", toxicity, "toxic", 0.95)])
+def test_held_out_accuracy_on_the_given_tables(spark, name, module, label, least):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    out = {r.doc_id: r for r in getattr(module, name)(spark, sf).where("held_out").collect()}
+    want = {r.doc_id: int(r[label]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in out}
+    pairs = [(out[i].predicted, y) for i, y in want.items()]
+    right, hit = sum(p == y for p, y in pairs) / len(pairs), sum(p == y == 1 for p, y in pairs)
+    recall, precision = hit / max(1, sum(y for _, y in pairs)), hit / max(1, sum(p for p, _ in pairs))
+    assert len(pairs) > 400 and right >= least and min(recall, precision) >= 0.85, (right, recall, precision)
 
 
 def test_folding_and_exceptions():
@@ -196,6 +307,36 @@ def test_quality(spark, empty):
     assert len(quality.features("")) == len(quality.features("a B.\n c! 1")) == quality.N_FEATURES
 
 
+def brute_quality(text):
+    """The features one by one, each with a pass of its own."""
+    if not text:
+        return [0.0] * quality.N_FEATURES
+    words_, lines = text.split(), [x for x in text.split("\n") if x.strip()] or [""]
+    low, m, n = [w.lower() for w in words_], max(1, len(text.split())), len(text)
+    sizes, sents = sorted(len(w) for w in words_) or [0], [s for s in re.split(r"\. ", text.replace("\n", " ")) if s]
+    tops = sorted((low.count(w) for w in set(low)), reverse=True)
+    pairs = list(zip(low, low[1:]))
+    end = [x.rstrip()[-1:] in ".!?" for x in lines]
+    out = [np.log1p(m), np.log1p(n), np.log1p(len(lines)), sum(sizes) / m, sizes[len(sizes) // 2], sizes[-1], len(set(low)) / m, len(set(low)) / m**0.5, tops[0] / m if tops else 0, tops[1] / m if len(tops) > 1 else 0]
+    out += [len(set(pairs)) / max(1, m - 1), max((pairs.count(p) for p in set(pairs)), default=0) / m, len(set(lines)) / len(lines), m / len(lines), np.log1p(max(map(len, lines))), np.log1p(min(map(len, lines)))]
+    out += [sum(w.isupper() for w in words_) / m, sum(w.istitle() for w in words_) / m, sum(c in "0123456789" for c in text) / n, n / m, len(sents), m / max(1, len(sents)), len(set(sents)) / max(1, len(sents))]
+    out += [len(zlib.compress(text.encode("utf-8", "replace"), 1)) / n, sum(c.isalpha() for c in set(text)), sum(end) / len(end), float(end[-1]), text.count("  ") / n, sum(len(w) <= 3 for w in words_) / m, sum(not w.isalnum() for w in words_) / m]
+    return [float(x) for x in out] + [sum(c == k for c in text) / m for k in quality.MARKS]
+
+
+def test_quality_by_brute_force(spark, rows):
+    texts = [t for _, t in rows if t is not None and len(t) < 3000] + ["A|b %$ \n\n  c. D!", "١٢ 12", "...", "q" * 4000]
+    assert all(np.allclose(quality.features(t), brute_quality(t)) for t in texts)
+    docs, labels = labelled(spark, 120)
+    model = quality.fit(docs, labels)
+    twice = docs.unionByName(docs).unionByName(H.frame(spark, [(777, "a long text of many words. " * 20_000)]))
+    got = [(r.doc_id, r.score) for r in quality.score(twice, model).collect()]
+    by_id = {r.doc_id: r.text or "" for r in twice.collect()}
+    above = lambda t: (np.array(quality.features(t))[:, None] > model.edges).reshape(-1) @ model.weights
+    want = {i: 1 / (1 + np.exp(-np.clip(model.slope * (above(t) - model.at) + np.log(0.3 / 0.7), -30, 30))) for i, t in by_id.items()}
+    assert len(got) == 2 * 123 + 1 and all(abs(s - want[i]) < 1e-6 for i, s in got)
+
+
 def test_bradley_terry_orders_pairs():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 3))
@@ -228,6 +369,34 @@ def test_shards_follow_weights_and_grow_into_the_new_one_only(spark):
     assert abs((got.s1 == 6).mean() - 2 / 9) < 0.02
 
 
+def test_another_weight_moves_rows_on_its_path_only(spark):
+    ids = spark.range(60_000).withColumnRenamed("id", "doc_id")
+    tree = sharding.Tree.build(16)
+    place = {x[2]: x[:2] for x in tree.segments[0]}
+    for weight, into in ((3.0, True), (0.25, False)):
+        got = ids.select(sharding.shard_of("doc_id", tree).alias("a"), sharding.shard_of("doc_id", tree.reweigh(5, weight)).alias("b")).where("a <> b").collect()
+        assert len(got) > 500
+        for r in got:
+            a, b = place[r.a], place[r.b]
+            home = place[5]
+            assert (b if into else a)[0] == home[0], "a row enters (leaves) the shard's region"
+            assert a[0] != b[0] or (b if into else a) == home, "inside it, the shard's rack"
+            assert a != b or (r.b if into else r.a) == 5, "and inside that, the shard"
+    with pytest.raises(ValueError):
+        tree.reweigh(99, 1.0)
+
+
+def test_ranks_of_repeated_rows(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("x"), F.lit(None).cast("long").alias("y"))
+    out = ranks.ranked(df, "g", 3000, "r", 100)
+    assert out.columns == ["g", "x", "y", "r"]
+    got = out.collect()
+    for g in range(3):
+        assert sorted(r.r for r in got if r.g == g) == list(range(1000))
+    assert collections.Counter(r.x for r in got)[7] == 1500 + (7 % 2)
+    assert ranks.ranked(df.limit(0), "g", 0, "r").count() == 0
+
+
 # --- 5 media
 def test_media(spark, docs, rows, empty):
     out = mpeg_audio.media_features(docs).collect()
@@ -297,16 +466,18 @@ def brute_components(rows):
     return out, groups
 
 
-@pytest.mark.parametrize("short_list, block", [(8, 8192), (2, 5)])
-def test_jaccard_join(spark, docs, rows, empty, monkeypatch, short_list, block):
+@pytest.mark.parametrize("short_list, block, hot", [(8, 8192, 150_000), (2, 5, 150_000), (2, 3, 4)])
+def test_jaccard_join(spark, docs, rows, empty, monkeypatch, short_list, block, hot):
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", short_list)
+    monkeypatch.setattr(jaccard_join, "HOT_LIST", hot)
     monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
     out = jaccard_join.classes(docs).collect()
     want, groups = brute_components(rows)
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == want
     if short_list == 8:
-        kept = jaccard_join.one_of_each(docs)
-        assert kept.columns == docs.columns and kept.count() == len(groups)
+        clash = docs.withColumn("__cf_key", F.lit(5)).withColumn("__cf_may", F.lit(6))
+        kept = jaccard_join.one_of_each(clash)
+        assert kept.columns == clash.columns and kept.count() == len(groups) and kept.select("__cf_key", "__cf_may").distinct().collect() == [(5, 6)]
         assert jaccard_join.classes(empty).count() == 0
 
 
@@ -396,13 +567,22 @@ def test_tokens_word_by_word():
         assert packing.token_bytes(t.encode(), words_) == np.array(words_.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def test_ranks(spark):
-    df = spark.range(1000).select((F.col("id") % 3).alias("g"), ranks.chunk_of(F.col("id"), 1000, 50).alias("c"))
-    counts = df.groupBy("g", "c").agg(F.count("*").alias("n"))
-    got = sorted((r.g, r.first, r.n) for r in ranks.offsets(counts, "g", "c", "n", "first").join(counts, ["g", "c"]).collect())
-    for g in range(3):
-        own = [(a, n) for k, a, n in got if k == g]
-        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+def test_packing_of_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS_PER_CHUNK", 10)
+    rows = [(None, f"word{i} " * (i % 7)) for i in range(60)] + [(1, "the same row")] * 90
+    docs = H.frame(spark, rows).repartition(3)
+    out = packing.pack(docs, max_len=64).collect()
+    assert sum(r.start == 0 for r in out) == 150
+    places = collections.defaultdict(list)
+    for r in out:
+        places[r.sequence_id].append((r.offset, r.length))
+    for at in places.values():
+        at.sort()
+        assert at[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(at, at[1:])) and sum(at[-1]) <= 64
+    slots = collections.defaultdict(list)
+    for r in sharding.assign(docs, sharding.TREE).collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 150 and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 # --- 8 suffix-array dedup
@@ -424,9 +604,12 @@ def brute_substrings(rows):
     return collections.Counter(out[r] for r in rows)
 
 
-@pytest.mark.parametrize("block", [1 << 18, 150])
-def test_substring_dedup(spark, rows, empty, monkeypatch, block):
+@pytest.mark.parametrize("block, hot, bits", [(1 << 18, 100_000, 28), (150, 3, 10)])
+def test_substring_dedup(spark, rows, empty, monkeypatch, block, hot, bits):
     monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "MAX_FILTER_BITS", bits)
+    monkeypatch.setattr(substring_dedup, "LEAST_PART_BITS", min(bits - 1, 10))
     one = [r for r in rows if r[0] is not None] + [r for r in rows if r[0] is None][:1]  # ties of doc_id go by a hash
     rng = random.Random(6)
     pieces = [H.random_bytes_text(rng, 90), "ab" * 80, H.random_bytes_text(rng, 130), "z" * 260]
@@ -439,6 +622,16 @@ def test_substring_dedup(spark, rows, empty, monkeypatch, block):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in kept)
 
 
+def test_a_passage_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 20)
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    rows = [(i, H.random_bytes_text(rng, rng.randint(0, 150)) + passage + H.random_bytes_text(rng, rng.randint(0, 150))) for i in range(150)] + [(i % 60, passage) for i in range(60, 90)]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    out = substring_dedup.deduplicated(H.frame(spark, rows).repartition(5)).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute_substrings(rows)
+
+
 def test_suffix_sort():
     rng = random.Random(7)
     strings = [bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(0, 60))) for _ in range(400)] + [b"a" * n for n in range(0, 100, 3)] + [b"a" * 40, b"a" * 40 + b"\0"]
@@ -493,6 +686,32 @@ def test_pii(spark, docs, rows, empty):
     assert pii.redactions(empty).count() == 0 and pii.redactions(docs).count() == len(rows)
 
 
+def test_pii_finds_planted_spans_that_no_rule_knows(spark):
+    """Values and sentences of its own, none from pii_examples."""
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    filler = "the report of last week says that nothing new was seen in town".split()
+    good = [lambda: ("secret", hexa(40), 'client token: "{}"'), lambda: ("secret", hexa(32), "passwd={}"), lambda: ("number", f"0{digits(3)} {digits(7)}", "you can phone {} today"), lambda: ("number", f"({digits(3)}) {digits(3)}-{digits(4)}", "mobile {}"), lambda: ("address", f"jörg{digits(1)}@straße.example", "write to {}"), lambda: ("number", f"{digits(3)}-{digits(2)}-{digits(4)}", "my ssn {}")]
+    bad = [lambda: ("", "left-hand_side-of-the-equation", "as the {} shows"), lambda: ("", f"19{digits(2)}-20{digits(2)}", "the years {} were dry"), lambda: ("", "wissenschaftsgeschichte", "Die {} lehrt"), lambda: ("", "-" * 30, "{}"), lambda: ("", f"{rng.randint(1, 9)} {digits(3)} {digits(3)}", "a crowd of {} came"), lambda: ("", f"lib{digits(1)}/share/doc/readme", "open {} first")]
+    rows, want = [], {}
+    for i in range(400):
+        kind, value, sentence = rng.choice(good if i % 2 else bad)()
+        head = " ".join(rng.choice(filler) for _ in range(8)) + ". "
+        at = len(head) + sentence.index("{}")
+        rows.append((i, head + sentence.format(value) + " and " + " ".join(rng.choice(filler) for _ in range(8))))
+        want[i] = (at, at + len(value)) if kind else None
+    got = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s] for r in pii.redactions(H.frame(spark, rows)).collect()}
+    hit = lambda a, b, x: min(b, x[1]) - max(a, x[0]) >= 0.8 * (max(b, x[1]) - min(a, x[0]))
+    found = sum(any(hit(*want[i], x) for x in got[i]) for i in want if want[i])
+    clean = sum(not got[i] for i in want if not want[i])
+    right = sum(any(hit(*want[i], x) for x in got[i]) for i in want if want[i] and got[i])
+    print("recall", found / 200, "clean", clean / 200, "precision of documents", right / max(1, sum(bool(v) for v in got.values())))
+    assert found >= 0.8 * 200 and clean >= 0.9 * 200
+    long_ = pii.redactions(H.frame(spark, [(1, "q" * 70 + "!" * 300 + "@" + "w" * 400 + ".example"), (2, "x" * 3_000_000)])).collect()
+    assert all(int(s.split(":")[2]) - int(s.split(":")[1]) > 700 for r in long_ for s in r.spans.split(",") if s.startswith("address"))
+
+
 def test_boosting():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 5, (300, 4))
@@ -514,7 +733,9 @@ def test_boosting_sql(spark):
 
 
 # --- 10 decontamination
-def test_decontamination(spark, rows, empty):
+@pytest.mark.parametrize("most", [400_000, 0])
+def test_decontamination(spark, rows, empty, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_SHINGLES", most)
     rng = random.Random(8)
     vocab = H.vocabulary(rng, 300)
     items = [(i, H.prose(rng, vocab, rng.choice([1, 3, 5, 12, 40, 60]))) for i in range(25)] + [(90, None), (91, ""), (92, "A b c d e"), (93, "one")]
@@ -532,8 +753,9 @@ def test_decontamination(spark, rows, empty):
             if q and 100 * len(s & q) >= 75 * len(q):
                 want.add((i, j, len(q), len(s & q)))
     assert got == want and len(want) > 8
-    clean = decontamination.clean(docs, items_df)
-    assert clean.columns == docs.columns
+    clash = docs.withColumn("__cf_key", F.lit(5)).withColumn("__cf_may", F.lit(6))
+    clean = decontamination.clean(clash, items_df)
+    assert clean.columns == clash.columns and clean.select("__cf_key", "__cf_may").distinct().collect() == [(5, 6)]
     bad = {i for i, _, _, _ in want}
     assert collections.Counter(r.doc_id for r in clean.collect() if r.doc_id is not None) == collections.Counter(i for i, _ in every if i not in bad and i is not None)
     assert decontamination.contained(empty, items_df).count() == 0 and decontamination.contained(docs, items_df.limit(0)).count() == 0

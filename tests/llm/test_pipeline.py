@@ -15,6 +15,8 @@ def sf_dir(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("tables"))
     docs, labels = labelled(spark)
     docs = docs.unionByName(H.frame(spark, [(10_000 + i, t) for i, (_, t) in enumerate(H.corpus())]))
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0"))  # repeated rows
+    docs = docs.withColumn("__cf_key", F.col("doc_id")).withColumn("__cf_lines", F.lit("own"))
     docs.withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{d}/documents.parquet")
     labels.write.parquet(f"{d}/labels.parquet")
     item = next(t for _, t in H.corpus() if t and len(t.split()) > 100)
