@@ -73,7 +73,7 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def _leaves(docs: DataFrame, min_tokens: int, min_docs: int) -> DataFrame:
-    """leaf: those that at least min_docs documents reach."""
+    """leaf, n: those that at least min_docs documents reach, and how many do."""
 
     def run(batches):
         counts: dict[int, int] = {}
@@ -90,7 +90,12 @@ def _leaves(docs: DataFrame, min_tokens: int, min_docs: int) -> DataFrame:
                     counts.clear()
         yield out()
 
-    return _source(docs).select("text").mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    return _source(docs).select("text").mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
+
+
+def _busy_leaves(leaves: DataFrame) -> DataFrame:
+    total = leaves.agg(F.sum("n")).first()[0] or 0
+    return leaves.where(F.col("n") > total // BUSY).select("leaf")
 
 
 def _dealt(rows: DataFrame, keyed: DataFrame, on: list[str], key: str, busy: DataFrame) -> DataFrame:
@@ -128,24 +133,24 @@ def _entries(docs: DataFrame, leaves: DataFrame, min_tokens: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
-    return _source(docs).mapInArrow(run, _ROW).join(leaves, "leaf", "left_semi")
+    return _dealt(_source(docs).mapInArrow(run, _ROW), leaves.select("leaf"), ["leaf"], "key", _busy_leaves(leaves))
 
 
-def templates(lines: DataFrame, entries: DataFrame, min_docs: int, constant: float = CONSTANT) -> DataFrame:
+def templates(lines: DataFrame, entries: DataFrame, min_docs: int, busy: DataFrame, constant: float = CONSTANT) -> DataFrame:
     """leaf, text_hash, template for each distinct line (leaf, text_hash, tokens).
 
-    entries: leaf, tokens and key (the document) of each line. A token is constant at its place of a leaf if min_docs
+    entries: leaf, tokens and key (the document) of each line; busy: leaves with a large share of all lines. A token is constant at its place of a leaf if min_docs
     documents have it there, however many lines of theirs do. The template is null where too few positions are constant to
     generalise the line.
     """
     wild = F.lit(_token_hash(WILD))
     forks = lines.groupBy("leaf").agg(F.count("*").alias("k"), F.max(F.array_contains("tokens", wild)).alias("wild"), F.max(F.size("tokens")).alias("size"))
     forks = cut(forks.where(f"(k > 1 or wild) and size > {DEPTH}").select("leaf"))
-    held = entries.join(forks, "leaf", "left_semi").select("leaf", "key", F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= DEPTH)
+    held = _dealt(entries, forks, ["leaf"], "key", busy).select("leaf", "key", F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= DEPTH)
     # one row for each document first, then how many: both counts are pre-aggregated, so a token of all documents is no hot key
     common = held.groupBy("leaf", "at", "token", "key").agg(F.lit(1).alias("one")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     common = common.where(F.col("n") >= min_docs).select("leaf", "at", "token", F.lit(1).alias("fixed"))
-    each = lines.join(forks, "leaf", "left_semi").select("leaf", "text_hash", F.posexplode("tokens").alias("at", "token"))
+    each = _dealt(lines, forks, ["leaf"], "text_hash", busy).select("leaf", "text_hash", F.posexplode("tokens").alias("at", "token"))
     led, rest_ = each.where(F.col("at") < DEPTH).withColumn("fixed", F.lit(1)), each.where(F.col("at") >= DEPTH).join(common, ["leaf", "at", "token"], "left")
     fixed = F.when(F.col("token") == wild, 0).otherwise(F.coalesce("fixed", F.lit(0)))
     marked = led.unionByName(rest_).withColumn("fixed", fixed)
@@ -193,7 +198,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     entries = cut(_entries(docs, leaves, min_tokens))
     busy = entries.count() // BUSY
     lines = cut(entries.groupBy("leaf", "text_hash").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")))
-    made = templates(lines, entries.select("leaf", "key", "tokens"), min_docs)
+    made = templates(lines, entries.select("leaf", "key", "tokens"), min_docs, _busy_leaves(leaves))
     named = _dealt(entries.select("key", "doc_id", "line", "leaf", "raw", "text_hash"), made, ["leaf", "text_hash"], "key", lines.where(F.col("n") > busy).select("leaf", "text_hash"))
     named = cut(named.select("key", "doc_id", "line", F.coalesce("template", F.xxhash64("leaf", "raw")).alias("template")))
     per_doc = named.groupBy("template", "key").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.count("*").alias("n"))
