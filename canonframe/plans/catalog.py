@@ -16,7 +16,9 @@ from canonframe.functions.strings import decode_bytes, enc_string, encode_output
 from canonframe.operators import profile
 from canonframe.operators.diff import diff_tables
 from canonframe.operators.nodes import key_order_issues, key_profile, nodes, register_tables
-from canonframe.operators.typed import canonical_row
+from canonframe.operators.typed import canonical_row, from_pandas
+from canonframe.plans import rules
+from canonframe.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -493,13 +495,106 @@ def typed_orders(spark, d):
 @query(f"SELECT event_id, {_PROPS} AS canon, sha256({_PROPS}) AS canon_sha256 FROM events")
 def stream_canon_props(spark, d):
     """The same kernel on a stream: the table's file as a source, one trigger, a Parquet sink in the shared folder."""
-    import tempfile
-
     from canonframe.streaming.documents import canonical_stream, write_stream
 
-    base = (spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="canonframe-stream-")) + f"/stream-{uuid.uuid4().hex}"
+    base = _folder(spark, "stream")
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     out = canonical_stream(source.select("event_id", "props"), "props").select("event_id", "canon", "canon_sha256")
     write_stream(out, f"{base}/data", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/data")
+
+
+rules.register(query)
+
+
+# --- exponents of any size, options, sources and sinks ----------------------------------------------------------------
+@query("""SELECT o_orderkey, '1.2e+9999999999999999999' || lpad(cast(o_orderkey + 1 AS varchar), 9, '0') AS sci, CAST(NULL AS varchar) AS plain,
+CASE WHEN o_orderkey < 10 THEN '0.' || o_orderkey || '5' ELSE (o_orderkey // 10) || '.' || (o_orderkey % 10) || '5' END AS small FROM orders""")
+def canon_number_exponents(spark, d):
+    """Exponents far beyond 64 bits: exact in scientific format, no answer in plain format."""
+    t = table(spark, d, "orders").withColumn("t", F.expr("concat('12e9999999999999999999', lpad(o_orderkey, 9, '0'))"))
+    return t.select("o_orderkey", canon_number("t", "scientific").alias("sci"), try_canon_number("t").alias("plain"), canon_number(F.concat("o_orderkey", F.lit(".5e-1"))).alias("small"))
+
+
+@query("""SELECT o_orderkey, CAST(o_orderkey AS varchar) AS by_pointer, '{"b":2}' AS by_patch, '{"a":' || o_orderkey || ',"m":1}' AS by_merge, '{"n":' || o_orderkey || '}' AS by_callable FROM orders""")
+def transform_precedence(spark, d):
+    """A pointer goes before a patch, that before a merge patch, that before a callable."""
+    t = built(table(spark, d, "orders"), """concat('{"a":', o_orderkey, '.0}')""", "o_orderkey")
+    call, merge, patch = (lambda v: {"n": v["a"]}), '{"m":1}', '[{"op":"add","path":"/b","value":2},{"op":"remove","path":"/a"}]'
+    run = lambda **options: D.canonicalize("doc", transform=call, **options)
+    return t.select("o_orderkey", run(pointer="/a", patch=patch, merge_patch=merge).alias("by_pointer"), run(patch=patch, merge_patch=merge).alias("by_patch"), run(merge_patch=merge).alias("by_merge"), run().alias("by_callable"))
+
+
+@query("""SELECT n_nationkey, '[true,' || n_nationkey || ']' AS canon, n_nationkey % 2 = 0 AS ok FROM nation""")
+def literal_prefixes(spark, d):
+    """A literal ends where its letters end: what follows must be a separator or the end."""
+    n = table(spark, d, "nation")
+    doc = F.expr("concat('[True,', n_nationkey, ']')")
+    odd = F.expr("if(n_nationkey % 2 = 0, '[true]', '[tru e]')")
+    return n.select("n_nationkey", D.canonicalize(doc).alias("canon"), D.try_canonicalize(odd).isNotNull().alias("ok"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '{"a":1}' WHEN 1 THEN '[1,2]' ELSE '{"a":[1]}' END AS canon,
+CASE o_orderkey % 3 WHEN 0 THEN ['dropped malformed object member'] WHEN 1 THEN ['dropped trailing data after the value'] ELSE ['unterminated array at end of input', 'unterminated object at end of input'] END AS messages FROM orders""")
+def salvage_messages(spark, d):
+    t = built(table(spark, d, "orders"), """element_at(array('{"a":1,"b":@}', '[1,2] x', '{"a":[1'), cast(o_orderkey % 3 AS int) + 1)""", "o_orderkey")
+    s = t.select("o_orderkey", D.salvage("doc").alias("s"))
+    return s.select("o_orderkey", "s.canon", F.expr("transform(s.recoveries, r -> r.message)").alias("messages"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return (base or tempfile.mkdtemp(prefix="canonframe-")) + f"/{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT n_nationkey, '{"k":' || n_nationkey || ',"n":"' || n_name || '"}' AS canon FROM nation""")
+def file_roundtrip(spark, d):
+    """Canonical lines written as text, read back as NDJSON."""
+    path = _folder(spark, "lines")
+    t = built(table(spark, d, "nation"), """concat('{"n": "', n_name, '", "k": ', n_nationkey, '.0}')""", "n_nationkey")
+    files.write_text(t.select(D.canonicalize("doc").alias("canon")), "canon", path)
+    back = files.read_ndjson(spark, path).select(D.canonicalize("data").alias("canon"))
+    return back.select(D.json_pointer("canon", "/k").cast("int").alias("n_nationkey"), "canon")
+
+
+@query("""SELECT 'line' AS kind, n_nationkey AS i, '{"k":' || n_nationkey || '}' AS canon FROM nation UNION ALL SELECT 'document', 0, '[' || string_agg(n_nationkey, ',' ORDER BY n_nationkey) || ']' FROM nation""")
+def read_documents(spark, d):
+    """Files as documents of bytes (one file in all), and as streams of values."""
+    one, many = _folder(spark, "one"), _folder(spark, "many")
+    n = table(spark, d, "nation")
+    n.agg(F.concat(F.lit("[ "), F.array_join(F.array_sort(F.collect_list("n_nationkey")), " , "), F.lit(" ]")).alias("value")).coalesce(1).write.text(one)
+    n.orderBy("n_nationkey").coalesce(1).select(F.expr("concat(char(30), '{\"k\": ', n_nationkey, '}')").alias("value")).write.text(many)
+    docs = files.read_documents(spark, f"{one}/*.txt").select(F.lit("document").alias("kind"), F.lit(0).alias("i"), D.canonicalize("data").alias("canon"))
+    return docs.unionByName(files.read_json_seq(spark, f"{many}/*.txt").select(F.lit("line").alias("kind"), F.col("value_index").alias("i"), "canon"))
+
+
+@query("""SELECT n_nationkey, '{"a":1,"b":2}' AS canon, CASE WHEN n_nationkey % 2 = 1 THEN '$' END AS loc, CASE WHEN n_nationkey % 2 = 1 THEN 'key-order' END AS category FROM nation""")
+def report_sink(spark, d):
+    """Documents and, beside them, their issues, as written."""
+    path = _folder(spark, "report")
+    t = built(table(spark, d, "nation"), """if(n_nationkey % 2 = 0, '{"a":1,"b":2}', '{"b":2,"a":1}')""", "n_nationkey").withColumn("canon", D.canonicalize("doc"))
+    files.write_with_report(t, "canon", D.lint("doc"), ["n_nationkey"], path)
+    issues = spark.read.parquet(f"{path}/issues").select("n_nationkey", "loc", "category")
+    return spark.read.parquet(f"{path}/documents").join(issues, "n_nationkey", "left").select("n_nationkey", "canon", "loc", "category")
+
+
+@query("""SELECT '{"half":{' || string_agg('"' || n_nationkey || '":' || n_nationkey || '.5', ',' ORDER BY cast(n_nationkey AS varchar)) || '},"n_name":{'
+|| string_agg('"' || n_nationkey || '":"' || n_name || '"', ',' ORDER BY cast(n_nationkey AS varchar)) || '}}' AS canon FROM nation""")
+def pandas_frame(spark, d):
+    """A small frame (25 nations) through the pandas interface: {column: {index: value}}."""
+    n = table(spark, d, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name", (F.col("n_nationkey") + 0.5).cast("double").alias("half"))
+    return spark.createDataFrame([(from_pandas(n.toPandas().set_index("n_nationkey")).decode(),)], "canon string")
+
+
+@query("""SELECT event_id, [CASE WHEN event_id % 2 = 0 THEN 'exact' ELSE 'ends' END] AS kind, event_id % 2 = 0 AS ok FROM events""")
+def schema_pattern_linear(spark, d):
+    """A pattern on which a backtracking engine takes exponential time."""
+    doc = F.expr("concat('\"', repeat('a', 200), if(event_id % 2 = 0, '', 'b'), '\"')")
+    t = table(spark, d, "events").select("event_id", doc.alias("doc"))
+    kind = F.array(F.when(F.col("event_id") % 2 == 0, "exact").otherwise("ends"))
+    return t.select("event_id", kind.alias("kind"), D.is_valid_schema("doc", '{"pattern":"^(a+)+$"}').alias("ok"))
