@@ -13,11 +13,16 @@ N_FOLDS = 5
 
 
 #: Bytes of an Arrow batch on its way to a worker: long texts make small batches, and a worker holds few of them.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: How workers allocate: blocks of 1 MB or more are mapped, so that they go back to the machine when they are freed, and the
+#: C library does not raise that limit by itself; Arrow shares its allocator. Otherwise an idle worker keeps what its largest
+#: task took, beside the tasks of the others.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(2 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.sparkContext.environment.update(WORKER_MEMORY)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,7 +38,7 @@ POSTINGS_PER_PART = 300_000
 #: A list that may hold more sets (by the count sketch) is dealt to several tasks; their leaders meet in a list of their own.
 HOT_LIST = 150_000
 MAP_BITS = 1024
-SEEN = 200_000
+SEEN = 100_000
 
 _PROFILE = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 

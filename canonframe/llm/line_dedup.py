@@ -85,7 +85,7 @@ def _leaves(docs: DataFrame, min_tokens: int, min_docs: int) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 for leaf in {leaf_of(t) for _, t in _lines(text, min_tokens)}:
                     counts[leaf] = counts.get(leaf, 0) + 1
-                if len(counts) > 400_000:
+                if len(counts) > 100_000:
                     yield out()
                     counts.clear()
         yield out()
@@ -127,7 +127,7 @@ def _entries(docs: DataFrame, leaves: DataFrame, min_tokens: int) -> DataFrame:
                     at = leaf & ((1 << bits) - 1)
                     if (int(words[at >> 6]) >> (at & 63)) & 1:
                         rows.append((key, doc, i, leaf, _hash(" ".join(line.split())), _hash(" ".join(tokens)), [_token_hash(t) for t in tokens]))
-                if len(rows) > 20_000:
+                if len(rows) > 8_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
                     rows = []
             if rows:
@@ -174,7 +174,7 @@ def _copies(docs: DataFrame, min_tokens: int) -> DataFrame:
                     tokens = line.split()
                     if len(tokens) >= min_tokens:
                         rows.append((key, doc, i, _hash(" ".join(tokens))))
-                if len(rows) > 20_000:
+                if len(rows) > 8_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                     rows = []
             if rows:

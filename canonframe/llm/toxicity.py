@@ -142,7 +142,7 @@ def _counts(rows: DataFrame) -> DataFrame:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for t in terms_of(fold(text)):
                     counts.setdefault(t, [0, 0])[y > 0] += 1
-                if len(counts) > 200_000:
+                if len(counts) > 50_000:
                     yield out()
                     counts.clear()
         yield out()
