@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +51,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Lets the executors delete the shuffle files of an action as it ends, not when the driver happens to collect garbage.
+
+    Only around actions whose result is then read from the shared folder, never around what a caller may run a second time.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the session's shared folder."""
     spark = df.sparkSession
@@ -56,7 +76,8 @@ def cut(df: DataFrame) -> DataFrame:
     folder = shared_folder(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    with shuffles_freed(spark):
+        return df.select("*").checkpoint()  # a plan of its own, which takes the setting
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -130,7 +151,8 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as Parquet in the session's shared folder and read again, and where it lies."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
