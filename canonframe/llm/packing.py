@@ -8,7 +8,12 @@ into rank ranges of each length, and pieces find their sequence by their rank in
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import zlib
+from array import array
+from codecs import charmap_decode
 from collections import defaultdict
 
 import numpy as np
@@ -32,6 +37,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What the tokenizer does to a text before its model: a run of small letters up to U+00FF, none of which composes with
+#: another, comes through as one piece, whose bytes are then written as one character each.
+_RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    None,
+)
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves; the others follow from 256 on
+_OTHERS = [b for b in range(256) if b not in _PRINTED]
+_BYTES = "".join(chr(b) if b in _PRINTED else chr(256 + _OTHERS.index(b)) for b in range(256))
+
+
 class _Words(dict):
     """Token ids, as little-endian bytes, of a run of bytes without ASCII white space and capital letters.
 
@@ -43,8 +64,13 @@ class _Words(dict):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        assert sys.byteorder == "little"  # array()'s is the machine's
         self.tok = Tokenizer.from_file(path)
         self.old: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        # the model alone, for words that the rules before it leave as they are; another tokenizer's are not known
+        self.model = Tokenizer(self.tok.model) if (rules["normalizer"], rules["pre_tokenizer"], rules["post_processor"]) == _RULES else None
 
     def __missing__(self, word: bytes) -> bytes:
         out = self.old.get(word)
@@ -52,6 +78,8 @@ class _Words(dict):
             text = word.decode("utf-8")
             if text[-1] in ".," and len(text) > 1 and text[-2].lower().isalpha():
                 out = self[word[:-1]] + self[word[-1:]]
+            elif self.model is not None and _PLAIN(text):
+                out = array("I", self.model.encode(text if text.isascii() else charmap_decode(word, "strict", _BYTES)[0], add_special_tokens=False).ids).tobytes()
             else:
                 out = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= 64:
@@ -76,7 +104,7 @@ def words_of(path: str) -> _Words:
 def token_bytes(text: bytes, words: _Words) -> bytes:
     if b"<|" not in text:  # special tokens count only as they are written
         text = text.lower()
-    return b"".join([words[w] for w in text.split()])
+    return b"".join(map(words.__getitem__, text.split()))
 
 
 def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:

@@ -567,6 +567,22 @@ def test_tokens_word_by_word():
         assert packing.token_bytes(t.encode(), words_) == np.array(words_.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_plain_words_need_the_model_alone(tmp_path):
+    path = packing.tokenizer_path()
+    whole, words_ = packing._Words(path).tok, packing._Words(path)
+    small = [chr(c) for c in range(256) if packing._PLAIN(chr(c))]
+    texts = ["invented wordlings, coíue.", "straße ñandú þæt, ÿ.", " ".join(a + b for a in small for b in small)]
+    asked = []
+    words_.tok = type("Tok", (), {"encode": lambda self, t, **k: asked.append(t) or whole.encode(t, **k)})()
+    for t in [*texts, "Don't İx e\u0301 a1 x\u0302y ª"]:
+        assert packing.token_bytes(t.encode(), words_) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert set(asked) == {",", ".", "don't", "İx", "e\u0301", "a1", "x\u0302y", "ª"}
+    other = tmp_path / "other.json"  # rules before the model that are not known: every word is asked for
+    other.write_text(open(path, encoding="utf-8").read().replace('"NFC"', '"NFD"'), encoding="utf-8")
+    words_ = packing._Words(str(other))
+    assert words_.model is None and packing.token_bytes("é ab".encode(), words_) == np.array(words_.tok.encode("é ab", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing_of_null_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(ranks, "ROWS_PER_CHUNK", 10)
     rows = [(None, f"word{i} " * (i % 7)) for i in range(60)] + [(1, "the same row")] * 90
