@@ -80,6 +80,12 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint()  # a plan of its own, which takes the setting
 
 
+def given_back(spark: SparkSession) -> None:
+    """Lets the driver's JVM collect its garbage and give heap back to the machine, between the actions of a long chain: plans
+    and broadcasts of the ended ones otherwise keep its heap, beside its hundreds of threads, at its largest."""
+    spark._jvm.System.gc()
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name like `name` that df does not have."""
     taken = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canonframe.llm import shingle_sets as S
-from canonframe.llm.common import bitmap, body, cut, flagged, free, in_bitmap, row_key, table
+from canonframe.llm.common import bitmap, body, cut, flagged, free, given_back, in_bitmap, row_key, table
 from canonframe.llm.components import components
 from canonframe.llm.decontamination import SHINGLES_SQL
 
@@ -369,18 +369,31 @@ def _across(entries: DataFrame, best: bool) -> DataFrame:
     return entries.groupBy("token", "band", "block").applyInArrow(run, "kind int, a long, na int, b long, nb int")
 
 
-def _spread(rest: DataFrame, comps: DataFrame) -> DataFrame:
-    """Entries of lists that still have several components, dealt into blocks. An entry outside its list's main component
-    goes to all blocks that hold sets of sizes it could be linked with, and to no other.
+def _with_comps(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    return entries.join(comps.withColumnRenamed("node", "fp").withColumnRenamed("root", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
 
-    Blocks are bands of sizes, each band dealt to as many blocks as it has LIST_BLOCKs of entries. Sizes of linked sets
-    differ by a factor of 4/3 at most, so they lie in one band or in neighbouring ones.
-    """
-    entries = rest.join(comps.withColumnRenamed("node", "fp").withColumnRenamed("root", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    entries = entries.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / PERCENT) + 1e-9)).cast("int"))
+
+def _mixed(entries: DataFrame) -> DataFrame:
+    """Lists that still have several components: token, the main component, the list's length."""
     by_comp = entries.groupBy("token", "comp").agg(F.count("*").alias("m"))
-    mixed = by_comp.groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main")).where("comps > 1")
-    entries = entries.join(mixed.select("token", "main"), "token")
+    lists = by_comp.groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("entries"))
+    return lists.where("comps > 1").drop("comps")
+
+
+def _spread(rest: DataFrame, comps: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Entries of lists that still have several components, dealt into blocks.
+
+    A list of at most LIST_BLOCK entries is one block (of band -1), and each of its entries is there once. Blocks of a longer
+    one are bands of sizes, each band dealt to as many blocks as it has LIST_BLOCKs of entries. Sizes of linked sets differ by
+    a factor of 4/3 at most, so they lie in one band or in neighbouring ones. An entry outside its list's main component goes
+    to all blocks that hold sets of sizes it could be linked with, and to no other.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / PERCENT) + 1e-9)).cast("int")
+    entries = _with_comps(rest, comps).join(mixed, "token").withColumn("band", F.when(F.col("entries") <= LIST_BLOCK, F.lit(-1)).otherwise(band)).drop("entries")
+    one = entries.where("band < 0").withColumn("block", F.lit(0)).withColumn("own", F.lit(1))
+    if mixed.where(F.col("entries") > LIST_BLOCK).isEmpty():
+        return one
+    entries = entries.where("band >= 0")
     bands = entries.groupBy("token", "band").agg(F.ceil(F.count("*") / F.lit(LIST_BLOCK)).cast("int").alias("blocks"))
     home = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     here = entries.join(bands, ["token", "band"]).withColumn("block", home).drop("blocks").withColumn("own", F.lit(1))
@@ -388,12 +401,13 @@ def _spread(rest: DataFrame, comps: DataFrame) -> DataFrame:
     there = outside.join(bands.withColumnRenamed("band", "there"), ["token", "there"])
     there = there.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where((F.col("there") != F.col("band")) | (F.col("block") != home))
     there = there.drop("blocks", "band").withColumnRenamed("there", "band").withColumn("own", F.lit(0))
-    return here.unionByName(there)
+    return one.unionByName(here).unionByName(there)
 
 
 def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """u, v: links between fingerprints whose components are those of all links."""
     spark = docs.sparkSession
+    given_back(spark)
     order = spark.sparkContext.broadcast(_sketch(profile))
     total = profile.where("kind = 0").agg(F.sum(F.expr(f"n + 1 - cast(ceil({PERCENT} * n / 100) AS int)"))).first()[0] or 0
     n_parts = max(8, -(-total // POSTINGS_PER_PART))
@@ -412,10 +426,11 @@ def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     comps = cut(components(first))
 
     entries = lists.where("kind = 1").select("token", F.col("a").alias("fp"), F.col("na").alias("n"), "at")
-    open_lists = _spread(entries, comps).select("token").distinct()
-    rest = cut(entries.join(open_lists, "token", "left_semi"))
+    mixed = cut(_mixed(_with_comps(entries, comps)))
+    rest = cut(entries.join(mixed.select("token"), "token", "left_semi"))
     if rest.isEmpty():
         return first
+    given_back(spark)
     distance = F.col("na") + F.col("nb") - 2 * F.col("common")
     ends = checked.select(F.col("a").alias("lead"), F.col("b").alias("fp"), distance.alias("far")).unionByName(checked.select(F.col("b").alias("lead"), F.col("a").alias("fp"), distance.alias("far")))
     leads = ends.groupBy("fp").agg(F.min(F.struct(_rank(F.col("lead")).alias("r"), "lead", "far")).alias("x")).select("fp", "x.lead", "x.far")
@@ -424,7 +439,7 @@ def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     done = checked.select("a", "b")
     tree = comps
     for best in (True, False):  # the most promising pairs first; then whatever is left between components
-        spread = _spread(rest, tree).select("token", "band", "block", "own", "fp", "n", "at", "comp", "lead", "far", "map")
+        spread = _spread(rest, tree, mixed).select("token", "band", "block", "own", "fp", "n", "at", "comp", "lead", "far", "map")
         across = cut(_across(spread, best).distinct())
         derived = across.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
         pairs = cut(across.where("kind = 0").select("a", "na", "b", "nb").join(done, ["a", "b"], "left_anti"))
@@ -434,6 +449,8 @@ def links(docs: DataFrame, profile: DataFrame) -> DataFrame:
         edges = tree.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(derived).unionByName(found)
         if best:
             tree = cut(components(edges))
+            mixed = cut(_mixed(_with_comps(rest, tree)))
+            given_back(spark)
             done = done.unionByName(verified.select("a", "b"))
     return edges
 

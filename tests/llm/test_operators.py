@@ -481,6 +481,24 @@ def test_jaccard_join(spark, docs, rows, empty, monkeypatch, short_list, block,
         assert jaccard_join.classes(empty).count() == 0
 
 
+def test_entries_of_long_lists_are_there_once_but_where_bands_need_them(spark, monkeypatch):
+    sizes = [30, 31, 33, 40, 41, 44, 52, 57, 58, 70]
+    rest = spark.createDataFrame([(t, 100 * t + i, n, 0) for t in (1, 2, 3) for i, n in enumerate(sizes)], "token long, fp long, n int, at int")
+    comps = spark.createDataFrame([(100 * 3 + i, 300) for i in range(len(sizes))] + [(200, 200), (201, 200)], "node long, root long")
+    linkable = {(t, i, j) for t in (1, 2) for i in range(10) for j in range(i) if 100 * sizes[j] >= 75 * sizes[i] and not (t == 2 and {i, j} == {0, 1})}
+    for block in (100, 3):
+        monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
+        mixed = jaccard_join._mixed(jaccard_join._with_comps(rest, comps))
+        assert {(r.token, r.entries) for r in mixed.collect()} == {(1, 10), (2, 10)}  # the third is one component
+        rows = jaccard_join._spread(rest, comps, mixed).collect()
+        assert sum(r.own for r in rows) == 20 and (block == 3 or len(rows) == 20)
+        places = collections.defaultdict(list)
+        for r in rows:
+            places[r.token, r.band, r.block].append((r.fp % 100, r.own))
+        met = {(k[0], max(i, j), min(i, j)) for k, v in places.items() for i, a in v for j, b in v if i != j and a | b}
+        assert linkable <= met
+
+
 def test_jaccard_join_of_many_near_copies(spark):
     rng = random.Random(9)
     vocab = H.vocabulary(rng, 900)
