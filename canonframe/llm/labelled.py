@@ -1,4 +1,4 @@
-"""Bounded, deterministic samples of labelled documents to fit classifiers on."""
+"""Labelled documents to fit classifiers on: all labels, or bounded, deterministic samples."""
 
 from __future__ import annotations
 
@@ -11,6 +11,12 @@ from canonframe.llm.common import held_out
 MAX_LABELLED = 12_000
 
 
+def known(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y: every label outside the held-out fold, once; rows with a null doc_id or label teach nothing."""
+    rows = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
+    return rows.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out()).distinct()
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MAX_LABELLED) -> DataFrame:
     """(text, label) of at most `most` labelled documents outside the held-out fold; nothing else of them is kept.
 
@@ -18,8 +24,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MAX_LABEL
     a hash of doc_id (and of the text, where an id has several): the bound holds after the join too, whatever repeats. The
     lists that are broadcast have at most `most` rows. Empty tables give no rows.
     """
-    known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out())
-    chosen = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+    chosen = known(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).where(F.col("text").isNotNull())
     pairs = texts.select("doc_id", "h").join(F.broadcast(chosen), "doc_id").distinct()
     picked = pairs.orderBy(F.xxhash64("doc_id"), "doc_id", "h", "y").limit(most)

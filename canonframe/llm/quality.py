@@ -1,13 +1,14 @@
 """Bradley-Terry quality ranking.
 
-Documents become a few dozen surface features, cut at quantiles into indicator columns. Preference pairs (a labelled
+Documents become a few dozen surface features, cut at quantiles into indicator columns. All preference pairs (a labelled
 good document over a labelled bad one) are learned by logistic loss on feature differences, which gives every document a
-strength. Strengths become scores between 0 and 1 such that the training rows' quantile at the share of bad documents
+strength. Every labelled document outside the held-out fold counts; no sample is taken. Strengths become scores between 0 and 1 such that the training rows' quantile at the share of bad documents
 gets the threshold.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -18,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canonframe.llm import labelled
-from canonframe.llm.common import body, held_out, table
+from canonframe.llm.common import body, cut, flagged, held_out, table
 
 THRESHOLD = 0.3
 BINS = 8
-PAIRS_PER_DOC = 24
 L2 = 2e-3
+#: Most steps of the optimizer; each is two passes over the labelled rows' features.
+STEPS = 30
+#: Strengths are counted in cells of this width up to REACH on both sides while learning, of width FINE for the threshold.
+CELL, FINE, REACH = 1 / 16, 1 / 64, 40
+LOCAL_ROWS, PART_ROWS = 12_000, 25_000
 MARKS = ".,;:!?|%#$&*=\"'()-_<>{}@/\\"
 _MARKS = np.frombuffer(MARKS.encode(), np.uint8)
 N_FEATURES = 30 + len(MARKS)
@@ -83,58 +88,173 @@ def indicators(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return (x[:, :, None] > edges[None]).reshape(len(x), -1).astype(np.float32)
 
 
-def _features(rows: DataFrame, columns: list[str], schema: str) -> DataFrame:
+def _grid(s: np.ndarray, width: float) -> np.ndarray:
+    return np.rint(np.clip(s, -REACH, REACH) / width).astype(np.int64) + int(REACH / width)
+
+
+def _counts(s: np.ndarray, y: np.ndarray, width: float) -> np.ndarray:
+    """Bad and good rows in each cell of a fixed grid of strengths."""
+    at, cells = _grid(s, width), 2 * int(REACH / width) + 1
+    return np.stack([np.bincount(at[y <= 0], minlength=cells), np.bincount(at[y > 0], minlength=cells)])
+
+
+def learned(total, n_weights: int, l2: float = L2) -> np.ndarray:
+    """Weights of least logistic loss over all pairs of a good and a bad row (limited-memory BFGS).
+
+    total(f) sums f(z, y) over all rows, in any number of parts. Strengths are counted on a grid; what a row's pairs add to the
+    gradient follows from the counts of the other kind, so every pair counts and none is made.
+    """
+    centers = (np.arange(2 * int(REACH / CELL) + 1) * CELL - REACH).astype(float)
+
+    def loss(w):
+        bad, good = total(lambda z, y: _counts(z @ w, y, CELL)).astype(float)
+        if not bad.sum() or not good.sum():
+            return 0.0, None
+        bad, good, used_b, used_g = bad / bad.sum(), good / good.sum(), np.flatnonzero(bad), np.flatnonzero(good)
+        apart = centers[used_g][:, None] - centers[used_b][None]
+        lost = 1 / (1 + np.exp(apart))
+        pull = np.zeros((2, len(centers)))
+        pull[1][used_g], pull[0][used_b] = lost @ bad[used_b], good[used_g] @ lost
+        return good[used_g] @ np.logaddexp(0, -apart) @ bad[used_b] + l2 / 2 * w @ w, pull
+
+    def gradient(w, pull):
+        def part(z, y):
+            at, is_good = _grid(z @ w, CELL), (y > 0).astype(int)
+            out = np.zeros((2, 1 + z.shape[1]))
+            for k in (0, 1):
+                own = is_good == k
+                out[k, 0], out[k, 1:] = own.sum(), pull[k][at[own]] @ z[own]
+            return out
+
+        bad, good = total(part)
+        return bad[1:] / bad[0] - good[1:] / good[0] + l2 * w
+
+    w = np.zeros(n_weights)
+    now, pull = loss(w)
+    if pull is None:
+        return w
+    g, past = gradient(w, pull), []
+    for _ in range(STEPS):
+        q, kept = g.copy(), []
+        for ds, dg in reversed(past):
+            kept.append(ds @ q / (ds @ dg))
+            q -= kept[-1] * dg
+        q *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1e-12, np.linalg.norm(g))
+        for (ds, dg), k in zip(past, reversed(kept)):
+            q += (k - dg @ q / (ds @ dg)) * ds
+        step = 1.0
+        while step > 0.01:
+            then, pull = loss(w - step * q)
+            if then <= now - 1e-4 * step * (g @ q):
+                break
+            step /= 2
+        else:
+            break
+        before, (w, g) = (w, g), (w - step * q, gradient(w - step * q, pull))
+        if (w - before[0]) @ (g - before[1]) > 1e-12:
+            past = [*past, (w - before[0], g - before[1])][-8:]
+        small, now = now - then < 1e-5, then
+        if small:
+            break
+    return w
+
+
+def bradley_terry(x: np.ndarray, y: np.ndarray, l2: float = L2) -> np.ndarray:
+    """Weights that make each good document's strength exceed the bad ones'; zeros without both kinds."""
+    return learned(lambda f: f(x, y), x.shape[1], l2)
+
+
+def _buckets(x: np.ndarray, y: np.ndarray) -> Counter:
+    """Rows of each kind by feature and value to 8 binary places: a count with a bound, whatever the corpus."""
+    out: Counter = Counter()
+    cells = np.ascontiguousarray(x, np.float32).view(np.int32) >> 15  # no feature is negative: order is kept
+    for i in range(x.shape[1]):
+        values, n = np.unique(cells[:, i].astype(np.int64) * 2 + (y > 0), return_counts=True)
+        out.update({(i, int(v) >> 1, int(v) & 1): int(k) for v, k in zip(values, n)})
+    return out
+
+
+def _quantiles(counts: dict[int, int], at: np.ndarray) -> np.ndarray:
+    cells = np.array(sorted(counts), np.int32)
+    ends = np.cumsum([counts[c] for c in cells.tolist()])
+    return (cells[np.searchsorted(ends, np.floor(at * (ends[-1] - 1)), "right")] << 15).view(np.float32).astype(float)
+
+
+def _matrix(batch) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(batch.column("f").to_pylist()), "<f8").reshape(-1, N_FEATURES), batch.column("y").to_numpy()
+
+
+def _sums(rows: DataFrame, f) -> list[np.ndarray]:
+    """For each part of rows, the sum of f(features, y) of its batches."""
+
+    def run(batches):
+        sums = [f(*_matrix(batch)) for batch in batches if len(batch)]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(sum(sums))], pa.binary())], names=["part"])
+
+    return [pickle.loads(r["part"]) for r in rows.mapInArrow(run, "part binary").collect()]  # of fixed size each
+
+
+def _bucket_table(rows: DataFrame) -> Counter:
     def run(batches):
         for batch in batches:
-            f = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), *batch.columns[1:]], names=["f", *columns])
-
-    return rows.mapInArrow(run, schema)
-
-
-def bradley_terry(x: np.ndarray, y: np.ndarray, pairs_per_doc: int = PAIRS_PER_DOC, l2: float = L2, steps: int = 300, seed: int = 7) -> np.ndarray:
-    """Weights that make each good document's strength exceed the bad ones' it is paired with."""
-    rng = np.random.default_rng(seed)
-    good, bad = np.flatnonzero(y > 0), np.flatnonzero(y <= 0)
-    if not len(good) or not len(bad):
-        return np.zeros(x.shape[1])
-    few, many = sorted((good, bad), key=len)
-    a = np.repeat(few, pairs_per_doc)
-    b = np.concatenate([rng.permutation(many) for _ in range(-(-len(a) // len(many)))])[: len(a)]
-    win, lose = (a, b) if few is good else (b, a)
-    used = np.flatnonzero(x.std(0) > 0)
-    d = (x[win] - x[lose])[:, used]
-    w, m, v = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
-    for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        g = -(d.T @ p) / len(d) + l2 * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    out = np.zeros(x.shape[1])
-    out[used] = w
-    return out
+            found = _buckets(*_matrix(batch))
+            columns = [*zip(*found), tuple(found.values())] if found else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["i", "cell", "good", "n"])
+
+    counted = rows.mapInArrow(run, "i long, cell long, good long, n long").groupBy("i", "cell", "good").agg(F.sum("n").alias("n"))
+    return Counter({(r["i"], r["cell"], r["good"]): r["n"] for r in counted.collect()})  # at most 256 an octave and feature
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = labelled.MAX_LABELLED) -> Model:
-    """From at most `most` labelled documents outside the held-out fold; without labels every score is the threshold."""
-    rows = _features(labelled.sample(docs, labels, "quality", most).select("text", "y"), ["y"], "f array<double>, y int").collect()  # at most `most` rows
-    if not rows:
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """f (features as bytes), y of every labelled document outside the held-out fold; texts cross no shuffle."""
+    known = cut(labelled.known(labels, "quality").withColumn("doc_id", F.col("doc_id").cast("long")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    some = flagged(docs, "doc_id", known, known.count(), "may").where("may")
+
+    def run(batches):
+        for batch in batches:
+            f = [np.array(features(t), "<f8").tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), *batch.columns[1:]], names=["f", "doc_id", "h"])
+
+    found = some.select("text", "doc_id", F.xxhash64("text").alias("h")).mapInArrow(run, "f binary, doc_id long, h long")
+    return cut(found.join(known, "doc_id").dropDuplicates(["doc_id", "h", "y"]).select("f", "y"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """From all labelled documents outside the held-out fold; without labels every score is the threshold.
+
+    Rows with a null doc_id, text or label teach nothing; equal rows teach once. The driver holds sums and counts of fixed size;
+    up to LOCAL_ROWS rows are summed there, more by the executors, in as many parts as there are PART_ROWS.
+    """
+    rows = _labelled(docs, labels)
+    n = rows.count()
+    if not n:
         return Model(np.zeros((N_FEATURES, 1)), np.zeros(N_FEATURES), 0.0, 1.0)
-    x, y = np.array([r["f"] for r in rows]), np.array([r["y"] > 0 for r in rows], float)
-    order = np.lexsort((*x.T[:6], y))
-    x, y = x[order], y[order]
-    edges = np.quantile(x, np.linspace(0, 1, BINS + 1)[:-1], axis=0).T
-    bad = y == 0
-    if bad.any():  # quantiles of the bad documents too: they sit in the tails of all
-        edges = np.hstack([edges, np.quantile(x[bad], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T])
-    z = indicators(x, edges)
-    w = bradley_terry(z, y)
-    s = z @ w
-    share = min(max(bad.mean(), 0.0), 1.0)
-    ranked = np.sort(s)
-    k = int(share * len(s))
-    at = float((ranked[max(0, k - 1)] + ranked[min(len(s) - 1, k)]) / 2)
-    return Model(edges, w, at, float(4 / max(1e-6, np.std(s))) if np.std(s) > 0 else 1.0)
+    if n <= LOCAL_ROWS:
+        x, y = _matrix(rows.orderBy("f", "y").toArrow())
+        cells, parts = _buckets(x, y), lambda f: [f(x, y)]
+    else:
+        rows = rows.coalesce(-(-n // PART_ROWS))
+        cells, parts = _bucket_table(rows), lambda f: _sums(rows, f)
+    all_, bad = [[Counter() for _ in range(N_FEATURES)] for _ in range(2)]
+    for (i, cell, good), k in cells.items():
+        all_[i][cell] += k
+        if not good:
+            bad[i][cell] += k
+    inner = np.linspace(0, 1, BINS + 1)[:-1]
+    edges = np.stack([_quantiles(c, inner) for c in all_])
+    if bad[0]:  # quantiles of the bad documents too: they sit in the tails of all
+        edges = np.hstack([edges, np.stack([_quantiles(c, inner[1:]) for c in bad])])
+    total = lambda f: sum(parts(lambda x, y: f(indicators(x, edges), y)))
+    w = learned(total, edges.size)
+    counts = total(lambda z, y: _counts(z @ w, y, FINE))
+    ranks, centers = np.cumsum(counts.sum(0)), np.arange(counts.shape[1]) * FINE - REACH
+    k = sum(bad[0].values())
+    at = centers[np.searchsorted(ranks, [min(max(0, k - 1), n - 1), min(n - 1, k)], "right")].mean()
+    mean = counts.sum(0) @ centers / n
+    std = float(np.sqrt(counts.sum(0) @ (centers - mean) ** 2 / n))
+    return Model(edges, w, float(at), 4 / max(1e-6, std) if std > 0 else 1.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

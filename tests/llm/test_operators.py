@@ -337,6 +337,30 @@ def test_quality_by_brute_force(spark, rows):
     assert len(got) == 2 * 123 + 1 and all(abs(s - want[i]) < 1e-6 for i, s in got)
 
 
+def test_quality_learns_from_all_labels(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    model = quality.fit(docs, labels)
+    rows = quality._labelled(docs, labels).collect()
+    want = {i for i in range(300) if zlib.crc32(str(i).encode()) % 5}
+    assert len(rows) == len(want) and quality.fit(docs.unionByName(docs), labels).weights.tolist() == model.weights.tolist()
+    monkeypatch.setattr(quality.labelled, "MAX_LABELLED", 10)  # the bound of other operators' samples is none here
+    monkeypatch.setattr(quality, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(quality, "PART_ROWS", 100)
+    monkeypatch.setattr(quality, "STEPS", 4)
+    spread = quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "LOCAL_ROWS", 12_000)
+    here = quality.fit(docs, labels)
+    assert spread.edges.tolist() == here.edges.tolist() and np.allclose(spread.weights, here.weights, atol=1e-4) and abs(spread.at - here.at) < 0.02
+
+
+def test_gradient_over_all_pairs():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 2, (80, 6)).astype(np.float32), rng.integers(0, 2, 80)
+    w = quality.bradley_terry(x, y, 0.01)
+    d = (x[y > 0][:, None] - x[y == 0][None]).reshape(-1, 6)
+    assert np.abs(-(d.T @ (1 / (1 + np.exp(d @ w)))) / len(d) + 0.01 * w).max() < 0.02
+
+
 def test_bradley_terry_orders_pairs():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 3))
